@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import decontaminate, mixing, quality, secrets, urlgraph
+from . import decontaminate, minhash, mixing, quality, secrets, spandedup, urlgraph
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
+    "op7_minhash": minhash.op7_minhash,
     "op8_urls": urlgraph.op8_urls,
+    "op10_spans": spandedup.op10_spans,
 }
 ORACLE = {
     "op1_mixing": mixing.SQL,
