@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefmill.llm import decontaminate, mixing, quality
+from prefmill.llm import decontaminate, linededup, minhash, mixing, quality
 from prefmill.llm.common import shared_folder, table
 
 
@@ -15,6 +16,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines met before. One that loses all its lines goes; n_chars follows the text."""
+    out = linededup.dedup_lines(docs).filter("n_lines = 0 OR n_removed < n_lines")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -25,7 +37,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("benchmark decontamination", drop_contaminated), ("mixing", mix)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing", mix),
+]
 #: Near-duplicate signatures have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
