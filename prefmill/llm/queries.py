@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import decontaminate, linededup, minhash, mixing, quality, secrets, spandedup, urlgraph
+from . import decontaminate, htmltext, linededup, minhash, mixing, quality, secrets, spandedup, urlgraph
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op3_lines": linededup.op3_lines,
+    "op4_html": htmltext.op4_html,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
     "op7_minhash": minhash.op7_minhash,
