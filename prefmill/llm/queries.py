@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from . import decontaminate, htmltext, linededup, minhash, mixing, quality, secrets, spandedup, urlgraph
+from . import decontaminate, htmltext, linededup, minhash, mixing, quality, secrets, spandedup, suffixdedup, urlgraph
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_minhash": minhash.op7_minhash,
     "op8_urls": urlgraph.op8_urls,
+    "op9_suffix": suffixdedup.op9_suffix,
     "op10_spans": spandedup.op10_spans,
 }
 ORACLE = {
