@@ -35,7 +35,7 @@ from .common import cut_lineage, salted_join, table, text_key
 from .hashing import Q, Spans, Words, blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 6
+BANDS, ROWS, PIVOTS = 40, 6, 64
 M = BANDS * ROWS
 #: Five standard deviations of an estimate from M registers at SIMILARITY, and the chance agreement of one-byte registers.
 SLACK = 5.0 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
@@ -72,7 +72,7 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, m:
     total = np.bincount(row, weight, rows)
     todo = np.flatnonzero(total > 0)
     level = np.ceil(np.log2(np.maximum(weight, 1))).astype(int)
-    factor = np.log(m) + 4.0
+    factor = np.log(m) + 2.5
     while len(todo):
         limit = np.zeros(rows)
         limit[todo] = m * factor / total[todo]
@@ -98,9 +98,9 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, m:
         rr, tt, pp = np.concatenate(rs), np.concatenate(ts), np.concatenate(ps)
         register = (mix(pp ^ np.uint64(0x8CB92BA72F3D8DD7)) % np.uint64(m)).astype(np.int64)
         slot = rr * m + register
-        order = np.lexsort((tt, slot))
-        slot, pp = slot[order], pp[order]
-        first = np.append(True, slot[1:] != slot[:-1]) if len(slot) else np.zeros(0, bool)
+        earliest = np.full(rows * m, np.inf)
+        np.minimum.at(earliest, slot, tt)
+        first = tt == earliest[slot]
         ids.reshape(-1)[slot[first]] = pp[first]
         todo = todo[(ids[todo] == EMPTY).any(axis=1)]
         ids[todo] = EMPTY
@@ -171,40 +171,43 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return cut_lineage(q.select("a", "b", (F.col("j") >= SIMILARITY - 1e-12).alias("near"), (1 - F.col("j")).alias("d")).union(far))
 
 
-def pivots(members: DataFrame, number: int) -> DataFrame:
-    """(key, n, bs): of every bucket with two members or more its smallest members, one for each class of their hash."""
-    part = members.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(number)).alias("c")).agg(F.count("*").alias("n"), F.min("id").alias("b"))
-    return cut_lineage(part.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("b").alias("bs")).filter("n > 1"))
+def pivots(members: DataFrame) -> DataFrame:
+    """(key, n, bs) of the buckets with members of several components: up to PIVOTS members, of all components but the one of the largest root."""
+    part = members.groupBy("key").agg(F.count("*").alias("n"), F.max("root").alias("top"), F.min("root").alias("low")).filter("low < top")
+    part = members.join(part, "key").filter("root < top").groupBy("key", "n", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("c")).agg(F.min("id").alias("b"))
+    return cut_lineage(part.groupBy("key", "n").agg(F.collect_list("b").alias("bs")))
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links (a, b) between nodes whose components are those of all links with at least SIMILARITY."""
+    """Links (a, b) between nodes whose components are those of all links with at least SIMILARITY.
+
+    First every member of a bucket meets the bucket's smallest. Members that differ from it, and those near it that may still
+    have a link to one that differs, go on to the buckets of two bands. There the pivots meet all
+    members of other components and leave, until a bucket has one component left.
+    """
     members = reps.select("id", F.posexplode("bands").alias("j", "key"))
-    out, depth, number = None, 1, 1
+    some = cut_lineage(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b")).filter("n > 1"))
+    if some.isEmpty():
+        return None
+    m = cut_lineage(salted_join(members, some, "key", "n").filter("id <> b").select("key", "j", F.col("id").alias("a"), "b"))
+    v = verified(m.select("a", "b").distinct(), reps, docs)
+    out = cut_lineage(v.filter("near").select("a", "b"))
+    m = m.join(v, ["a", "b"])
+    ring = m.filter("NOT near").groupBy("key").agg(F.min("d").alias("ring"))
+    rest = m.join(ring, "key").filter(F.expr(f"NOT near OR d >= ring - {1 - SIMILARITY} - 1e-9")).select("key", "j", F.col("a").alias("id"))
+    rest = cut_lineage(rest.join(reps.select("id", F.posexplode("bands").alias("k", "band")), "id").filter("k > j").select("id", F.xxhash64("key", "band").alias("key")))
     while True:
-        some = pivots(members, number)
+        root = components(out)
+        rest = rest.join(root, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+        some = pivots(rest)
         if some.isEmpty():
             return out
-        # Pivots meet the pivots before them only; after that they have met all members and leave.
-        m = salted_join(members, some, "key", "n").select("key", "j", F.col("id").alias("a"), F.array_contains("bs", F.col("id")).alias("pivot"), F.explode("bs").alias("b"))
-        m = cut_lineage(m.filter("a <> b AND (NOT pivot OR b < a)"))
+        m = salted_join(rest, some, "key", "n").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.array_contains("bs", F.col("id")).alias("pivot"), F.explode("bs").alias("b"))
+        m = m.join(root.toDF("b", "rb"), "b", "left").filter("ra <> coalesce(rb, b) AND (NOT pivot OR b < a)")
         v = verified(m.select("a", "b").distinct(), reps, docs)
-        near = v.filter("near").select("a", "b")
-        out = cut_lineage(near if out is None else out.union(near).distinct())
-        m = m.filter("NOT pivot").join(v, ["a", "b"])
-        ring = m.filter("NOT near").groupBy("key", "b").agg(F.min("d").alias("ring"))
-        # A member stays unless it is so near to some pivot that all near to it are near to that pivot.
-        done = F.expr(f"near AND (ring IS NULL OR d < ring - {1 - SIMILARITY} - 1e-9)")
-        rest = m.join(ring, ["key", "b"], "left").groupBy("key", "j", "a").agg(F.max(F.coalesce(done, F.lit(False))).alias("done")).filter("NOT done")
-        # Links inside a component add nothing: a bucket whose members have one root is settled.
-        root = components(out).withColumnRenamed("id", "a")
-        rest = cut_lineage(rest.join(root, "a", "left").select("key", "j", F.col("a").alias("id"), F.coalesce("root", "a").alias("root")))
-        open_ = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-        rest = rest.drop("root").join(open_, "key", "left_semi")
-        members, number = (rest if depth == 1 else cut_lineage(rest)), 8
-        if depth == 1:
-            finer = rest.join(reps.select("id", F.posexplode("bands").alias("k", "band")), "id").filter("k > j")
-            members, depth = cut_lineage(finer.select("id", F.col("k").alias("j"), F.xxhash64("key", "band").alias("key"))), 2
+        out = cut_lineage(out.union(v.filter("near").select("a", "b")).distinct())
+        gone = some.select("key", F.explode("bs").alias("id"))
+        rest = cut_lineage(rest.join(some.select("key"), "key", "left_semi").join(gone, ["key", "id"], "left_anti").select("id", "key"))
 
 
 def components(edges: DataFrame) -> DataFrame:

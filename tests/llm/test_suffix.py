@@ -53,7 +53,7 @@ def test_edited_copies(spark, monkeypatch, hot):
             s[rng.randrange(len(s))] = rng.choice(["", "Z", "yy"])
         docs.append((i, "".join(s)[rng.randrange(300) :] if rng.random() < 0.6 else text(rng.randrange(200)) + passage + text(rng.randrange(200)) + passage))
     if hot:
-        import cloudpickle
+        from pyspark import cloudpickle
 
         monkeypatch.setattr(S, "HOT", 1)
         cloudpickle.register_pickle_by_value(S)
