@@ -39,6 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds of texts at once; a longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates ``value`` once for all of its uses in ``body``, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_key
+from .common import cut_lineage, small_batches, table, text_key
 from .hashing import Spans, blocks, mix
 
 WINDOW, K = 100, 20
@@ -76,6 +76,37 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by K-gram, kind and place, in batches that may part a group: v = 0 for runs equal to an earlier one, v = 1 for the first of each kind where a K-gram has several.
+
+    What is held from one batch to the next is the first run of the K-gram and of the kind that the batch ends in.
+    """
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pa.Table.from_batches([*held.to_batches(), batch]).combine_chunks().to_batches()[0]
+        old = 0 if held is None else held.num_rows
+        if not rows.num_rows:
+            continue
+        h, s, key, p = (rows.column(k).to_numpy() for k in ("h", "s", "_key", "p"))
+        doc, none = rows.column("doc_id").fill_null(0).to_numpy(), rows.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        at = np.arange(len(h))
+        new_h = np.append(True, h[1:] != h[:-1])
+        new_s = new_h | np.append(True, s[1:] != s[:-1])
+        head_h, head_s = np.maximum.accumulate(np.where(new_h, at, 0)), np.maximum.accumulate(np.where(new_s, at, 0))
+        count = np.cumsum(new_s)
+        rank = count - count[head_h]
+        fresh = at >= old
+        other = ~new_s & fresh & ((doc != doc[head_s]) | (none != none[head_s]) | (key != key[head_s]) | (p != p[head_s]))
+        kinds = np.flatnonzero(new_s & fresh & (rank >= 1))
+        firsts = head_h[kinds[rank[kinds] == 1]]
+        out = np.concatenate([np.flatnonzero(other), firsts, kinds])
+        v = np.concatenate([np.zeros(other.sum(), np.int32), np.ones(len(firsts) + len(kinds), np.int32)])
+        part = rows.take(pa.array(out))
+        yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("h", "doc_id", "_key", "p", "n", "off")), pa.array(v)], ["h", "doc_id", "_key", "p", "n", "off", "v"])
+        last = [head_h[-1]] if head_h[-1] == head_s[-1] else [head_h[-1], head_s[-1]]
+        held = pa.Table.from_batches([rows.take(pa.array(last))])
+
+
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, doc_id, _key, p, n, off, bytes up to WINDOW behind the anchor) of the runs in _runs; those of hot K-grams window by window."""
     for batch, data, offsets in blocks(batches):
@@ -255,21 +286,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, _key, _gone): the byte spans that go, possibly overlapping, of every document that has any."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
     runs = d.mapInArrow(run_rows, "h long, s long, doc_id long, _key long, p int, n int, off int").repartition("h")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_key", "p")
-    kinds = runs.groupBy("h", "s").agg(F.min(place).alias("f"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("off").alias("off"))
-    whole = runs.join(kinds.filter("times > 1").select("h", "s", "f"), ["h", "s"]).filter(place != F.col("f"))
-    whole = whole.select("doc_id", "_key", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + WINDOW).alias("end"))
-    unlike = kinds.groupBy("h").agg(F.count("*").alias("v")).filter("v > 1")
-    sent = kinds.join(unlike, "h").select(F.col("f.doc_id").alias("_id"), F.col("f._key").alias("_k"), F.struct("h", F.col("f.p").alias("p"), "n", "off", F.col("v").cast("int").alias("v")).alias("r"))
-    sent = sent.groupBy("_id", "_k").agg(F.collect_list("r").alias("_runs"))
-    met = d.join(sent, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("doc_id", "_key", "text", "_runs")
-    parts = met.mapInArrow(context_rows, "g long, doc_id long, _key long, p int, n int, off int, bytes binary").repartition("g").sortWithinPartitions("g")
+    runs = runs.sortWithinPartitions("h", "s", F.col("doc_id").asc_nulls_last(), "_key", "p")
+    met = cut_lineage(runs.mapInArrow(met_rows, "h long, doc_id long, _key long, p int, n int, off int, v int"))
+    whole = met.filter("v = 0").select("doc_id", "_key", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + WINDOW).alias("end"))
+    kinds = met.filter("v = 1").drop("v")
+    many = kinds.groupBy("h").agg(F.count("*").alias("v")).filter(f"v > {HOT}")
+    kinds = kinds.join(many, "h", "left").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.struct("h", "p", "n", "off", F.coalesce(F.col("v").cast("int"), F.lit(2)).alias("v")).alias("r"))
+    sent = kinds.groupBy("_id", "_k").agg(F.collect_set("r").alias("_runs"))
+    some = d.join(sent, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("doc_id", "_key", "text", "_runs")
+    parts = some.mapInArrow(context_rows, "g long, doc_id long, _key long, p int, n int, off int, bytes binary").repartition("g").sortWithinPartitions("g")
     return whole.union(parts.mapInArrow(window_rows, "doc_id long, _key long, start int, end int")).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
 
 
 def op9_suffix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     gone = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_gone")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
