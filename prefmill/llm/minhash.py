@@ -153,61 +153,90 @@ def agreement(a: Column, b: Column) -> Column:
     return (share - 1 / 256) * (256 / 255)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def bags_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, bag) of nodes, from one join with the texts."""
+    at = ids.join(reps.select("id", "doc_id", "_key"), "id").select("id", F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))
+    d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
+    d = d.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("id", "text")
+    return cut_lineage(d.mapInArrow(multiset_rows, "id long, bag array<long>").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, bags: DataFrame) -> DataFrame:
     """(a, b) with near, and the distance if near, else a lower bound of it. A b may be in any number of pairs; such joins are split by AQE."""
     s = reps.select("id", "sketch")
     p = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     p = cut_lineage(p.select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("est")))
-    likely = p.filter(F.col("est") >= SIMILARITY - SLACK).select("a", "b")
-    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = ids.join(reps.select("id", "doc_id", "_key"), "id").select("id", F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))
-    d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
-    d = d.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("id", "text")
-    bags = cut_lineage(d.mapInArrow(multiset_rows, "id long, bag array<long>").dropDuplicates(["id"]))
-    q = likely.join(bags.toDF("a", "ba"), "a").join(bags.toDF("b", "bb"), "b")
+    q = p.filter(F.col("est") >= SIMILARITY - SLACK).select("a", "b").join(bags.toDF("a", "ba"), "a").join(bags.toDF("b", "bb"), "b")
     both = F.size(F.array_intersect("ba", "bb"))
     q = q.select("a", "b", (both / (F.size("ba") + F.size("bb") - both)).alias("j"))
     far = p.filter(F.col("est") < SIMILARITY - SLACK).select("a", "b", F.lit(False).alias("near"), F.greatest(F.lit(1 - SIMILARITY), 1 - F.col("est") - SLACK).alias("d"))
     return cut_lineage(q.select("a", "b", (F.col("j") >= SIMILARITY - 1e-12).alias("near"), (1 - F.col("j")).alias("d")).union(far))
 
 
+def sharing(rest: DataFrame, bags: DataFrame) -> DataFrame:
+    """rest (id, key, j) with size and c, the number of a text's shingles that another text of rest has, without the members that can't be near to any.
+
+    Two texts share at most the smaller c of the two. A member whose c falls short of SIMILARITY, even with a partner as
+    small as the smallest of its bucket or as c, has no link there.
+    """
+    own = rest.select("id").distinct().join(bags, "id")
+    each = own.select("id", F.explode("bag").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
+    c = each.join(shared, "s").groupBy("id").agg(F.count("*").alias("c"))
+    c = cut_lineage(c.join(own.select("id", F.size("bag").alias("size")), "id"))
+    out = rest.drop("size", "c").join(c, "id")
+    least = out.groupBy("key").agg(F.min("size").alias("least"))
+    fits = F.expr(f"c >= {SIMILARITY} * (size + greatest(least, c) - c) - 1e-6")
+    return cut_lineage(out.join(least, "key").filter(fits).drop("least"))
+
+
 def pivots(members: DataFrame) -> DataFrame:
     """(key, n, bs) of the buckets with members of several components: up to PIVOTS members, of all components but the one of the largest root."""
     part = members.groupBy("key").agg(F.count("*").alias("n"), F.max("root").alias("top"), F.min("root").alias("low")).filter("low < top")
-    part = members.join(part, "key").filter("root < top").groupBy("key", "n", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("c")).agg(F.min("id").alias("b"))
-    return cut_lineage(part.groupBy("key", "n").agg(F.collect_list("b").alias("bs")))
+    part = members.join(part, "key").filter("root < top").groupBy("key", "n", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p"))
+    return cut_lineage(part.agg(F.min(F.struct("id", "size", "c")).alias("b")).groupBy("key", "n").agg(F.collect_list("b").alias("bs")))
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links (a, b) between nodes whose components are those of all links with at least SIMILARITY.
 
-    First every member of a bucket meets the bucket's smallest. Members that differ from it, and those near it that may still
-    have a link to one that differs, go on to the buckets of two bands. There the pivots meet all
-    members of other components and leave, until a bucket has one component left.
+    First every member of a bucket meets its centre, the member whose buckets are fullest, which in a group of edited copies is
+    the one with the fewest edits. Members that differ from it, and those near it that may still have a link to one that
+    differs, go on to the buckets of two bands, if they share enough with others that do. There the pivots meet all members of
+    other components and leave, until a bucket has one component left.
     """
     members = reps.select("id", F.posexplode("bands").alias("j", "key"))
-    some = cut_lineage(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b")).filter("n > 1"))
+    some = cut_lineage(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     if some.isEmpty():
         return None
-    m = cut_lineage(salted_join(members, some, "key", "n").filter("id <> b").select("key", "j", F.col("id").alias("a"), "b"))
-    v = verified(m.select("a", "b").distinct(), reps, docs)
+    members = cut_lineage(salted_join(members, some, "key", "n"))
+    full = members.groupBy("id").agg(F.sum("n").alias("full"))
+    bags = bags_of(full.select("id"), reps, docs)
+    centre = members.join(full, "id").groupBy("key", "n").agg(F.max(F.struct("full", "id"))["id"].alias("b"))
+    m = cut_lineage(salted_join(members.drop("n"), cut_lineage(centre), "key", "n").filter("id <> b").select("key", "j", F.col("id").alias("a"), "b"))
+    v = verified(m.select("a", "b").distinct(), reps, bags)
     out = cut_lineage(v.filter("near").select("a", "b"))
     m = m.join(v, ["a", "b"])
     ring = m.filter("NOT near").groupBy("key").agg(F.min("d").alias("ring"))
     rest = m.join(ring, "key").filter(F.expr(f"NOT near OR d >= ring - {1 - SIMILARITY} - 1e-9")).select("key", "j", F.col("a").alias("id"))
-    rest = cut_lineage(rest.join(reps.select("id", F.posexplode("bands").alias("k", "band")), "id").filter("k > j").select("id", F.xxhash64("key", "band").alias("key")))
+    rest = sharing(sharing(cut_lineage(rest), bags), bags)
+    finer = rest.join(reps.select("id", F.posexplode("bands").alias("k", "band")), "id").filter("k > j")
+    rest = cut_lineage(finer.select("id", "size", "c", F.xxhash64("key", "band").alias("key")))
     while True:
         root = components(out)
-        rest = rest.join(root, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+        rest = rest.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
         some = pivots(rest)
         if some.isEmpty():
             return out
-        m = salted_join(rest, some, "key", "n").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.array_contains("bs", F.col("id")).alias("pivot"), F.explode("bs").alias("b"))
-        m = m.join(root.toDF("b", "rb"), "b", "left").filter("ra <> coalesce(rb, b) AND (NOT pivot OR b < a)")
-        v = verified(m.select("a", "b").distinct(), reps, docs)
+        pivot = F.exists("bs", lambda x: x["id"] == F.col("id"))
+        able = F.filter("bs", lambda x: (x["id"] != F.col("id")) & (~pivot | (x["id"] < F.col("id"))) & (F.least("c", x["c"]) >= SIMILARITY * (F.col("size") + x["size"] - F.least("c", x["c"])) - 1e-6))
+        m = salted_join(rest, some, "key", "n").select(F.col("id").alias("a"), F.col("root").alias("ra"), F.explode(able).alias("b")).select("a", "ra", F.col("b.id").alias("b"))
+        m = cut_lineage(m.distinct()).join(root.toDF("b", "rb"), "b", "left").filter("ra <> coalesce(rb, b)")
+        v = verified(m.select("a", "b"), reps, bags)
         out = cut_lineage(out.union(v.filter("near").select("a", "b")).distinct())
-        gone = some.select("key", F.explode("bs").alias("id"))
-        rest = cut_lineage(rest.join(some.select("key"), "key", "left_semi").join(gone, ["key", "id"], "left_anti").select("id", "key"))
+        gone = some.select("key", F.explode("bs.id").alias("id"))
+        rest = rest.drop("root").join(some.select("key"), "key", "left_semi").join(gone, ["key", "id"], "left_anti")
+        rest = cut_lineage(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
