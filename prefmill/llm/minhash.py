@@ -10,10 +10,10 @@ that leaves no register empty, doubled where one stays empty, so the work is
 about M log M points and not one for each shingle and register.
 
 BANDS bands of ROWS registers propose candidates; the overlap of the multisets decides.
-Inside a band bucket documents are compared with its smallest member only; those that differ
-from it, and those that the triangle inequality leaves open (the distance is a metric), go on
-to finer buckets, so no link is lost and no group is expanded into pairs. Components come from
-repeated minima over the links, and buckets inside one component are not looked at again.
+Inside a band bucket documents are compared with its centre only; those that differ
+from it, and those that the triangle inequality leaves open (the distance is a metric), are
+compared where they share one of their rarest shingles, so no link is lost and no group is expanded into
+pairs. Components come from repeated minima over the links.
 
 Defined cases: rows with equal word sequences are one node; texts without
 words (null, empty, blank) are duplicates of nothing; texts of fewer than five words have one
@@ -29,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, salted_join, table, text_key
 from .hashing import Q, Spans, Words, blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, PIVOTS = 40, 6, 64
+BANDS, ROWS = 40, 6
 M = BANDS * ROWS
 #: Five standard deviations of an estimate from M registers at SIMILARITY, and the chance agreement of one-byte registers.
 SLACK = 5.0 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
@@ -173,37 +174,31 @@ def verified(pairs: DataFrame, reps: DataFrame, bags: DataFrame) -> DataFrame:
     return cut_lineage(q.select("a", "b", (F.col("j") >= SIMILARITY - 1e-12).alias("near"), (1 - F.col("j")).alias("d")).union(far))
 
 
-def sharing(rest: DataFrame, bags: DataFrame) -> DataFrame:
-    """rest (id, key, j) with size and c, the number of a text's shingles that another text of rest has, without the members that can't be near to any.
+def rare_pairs(nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b) of nodes (id, root) with different roots that may be near: all pairs that share one of their rarest shingles.
 
-    Two texts share at most the smaller c of the two. A member whose c falls short of SIMILARITY, even with a partner as
-    small as the smallest of its bucket or as c, has no link there.
+    If two texts agree in SIMILARITY of their shingles, each has a shingle of the other among its
+    rarest 1 - SIMILARITY, in one order for all; what edited copies have in common is frequent and
+    last in that order. Sizes have to fit too. Nothing near is missed.
     """
-    own = rest.select("id").distinct().join(bags, "id")
-    each = own.select("id", F.explode("bag").alias("s"))
-    shared = each.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
-    c = each.join(shared, "s").groupBy("id").agg(F.count("*").alias("c"))
-    c = cut_lineage(c.join(own.select("id", F.size("bag").alias("size")), "id"))
-    out = rest.drop("size", "c").join(c, "id")
-    least = out.groupBy("key").agg(F.min("size").alias("least"))
-    fits = F.expr(f"c >= {SIMILARITY} * (size + greatest(least, c) - c) - 1e-6")
-    return cut_lineage(out.join(least, "key").filter(fits).drop("least"))
-
-
-def pivots(members: DataFrame) -> DataFrame:
-    """(key, n, bs) of the buckets with members of several components: up to PIVOTS members, of all components but the one of the largest root."""
-    part = members.groupBy("key").agg(F.count("*").alias("n"), F.max("root").alias("top"), F.min("root").alias("low")).filter("low < top")
-    part = members.join(part, "key").filter("root < top").groupBy("key", "n", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("p"))
-    return cut_lineage(part.agg(F.min(F.struct("id", "size", "c")).alias("b")).groupBy("key", "n").agg(F.collect_list("b").alias("bs")))
+    own = cut_lineage(nodes.join(bags, "id").select("id", "root", F.size("bag").alias("size"), F.explode("bag").alias("s")))
+    often = own.groupBy("s").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("n", "s"))
+    rare = own.join(often, "s").withColumn("r", rank).filter(F.expr(f"n > 1 AND r <= size - ceil({SIMILARITY} * size - 1e-6) + 1"))
+    rare = cut_lineage(rare.select("s", "id", "root", "size", "r"))
+    other = rare.select("s", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("r").alias("q"))
+    # The overlap that these sizes need leaves so many places for the first shingle in common.
+    need = f"ceil({SIMILARITY / (1 + SIMILARITY)!r} * (size + sb) - 1e-6)"
+    fits = F.expr(f"id < b AND root <> rb AND r <= size - {need} + 1 AND q <= sb - {need} + 1")
+    return rare.join(other, "s").filter(fits).select(F.col("id").alias("a"), "b").distinct()
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links (a, b) between nodes whose components are those of all links with at least SIMILARITY.
 
-    First every member of a bucket meets its centre, the member whose buckets are fullest, which in a group of edited copies is
+    Every member of a bucket meets its centre, the member whose buckets are fullest, which in a group of edited copies is
     the one with the fewest edits. Members that differ from it, and those near it that may still have a link to one that
-    differs, go on to the buckets of two bands, if they share enough with others that do. There the pivots meet all members of
-    other components and leave, until a bucket has one component left.
+    differs, are few; among these links are found exactly, by their rarest shingles.
     """
     members = reps.select("id", F.posexplode("bands").alias("j", "key"))
     some = cut_lineage(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -218,25 +213,10 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     out = cut_lineage(v.filter("near").select("a", "b"))
     m = m.join(v, ["a", "b"])
     ring = m.filter("NOT near").groupBy("key").agg(F.min("d").alias("ring"))
-    rest = m.join(ring, "key").filter(F.expr(f"NOT near OR d >= ring - {1 - SIMILARITY} - 1e-9")).select("key", "j", F.col("a").alias("id"))
-    rest = sharing(sharing(cut_lineage(rest), bags), bags)
-    finer = rest.join(reps.select("id", F.posexplode("bands").alias("k", "band")), "id").filter("k > j")
-    rest = cut_lineage(finer.select("id", "size", "c", F.xxhash64("key", "band").alias("key")))
-    while True:
-        root = components(out)
-        rest = rest.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        some = pivots(rest)
-        if some.isEmpty():
-            return out
-        pivot = F.exists("bs", lambda x: x["id"] == F.col("id"))
-        able = F.filter("bs", lambda x: (x["id"] != F.col("id")) & (~pivot | (x["id"] < F.col("id"))) & (F.least("c", x["c"]) >= SIMILARITY * (F.col("size") + x["size"] - F.least("c", x["c"])) - 1e-6))
-        m = salted_join(rest, some, "key", "n").select(F.col("id").alias("a"), F.col("root").alias("ra"), F.explode(able).alias("b")).select("a", "ra", F.col("b.id").alias("b"))
-        m = cut_lineage(m.distinct()).join(root.toDF("b", "rb"), "b", "left").filter("ra <> coalesce(rb, b)")
-        v = verified(m.select("a", "b"), reps, bags)
-        out = cut_lineage(out.union(v.filter("near").select("a", "b")).distinct())
-        gone = some.select("key", F.explode("bs.id").alias("id"))
-        rest = rest.drop("root").join(some.select("key"), "key", "left_semi").join(gone, ["key", "id"], "left_anti")
-        rest = cut_lineage(rest)
+    rest = m.join(ring, "key").filter(F.expr(f"NOT near OR d >= ring - {1 - SIMILARITY} - 1e-9")).select(F.col("a").alias("id"))
+    rest = cut_lineage(rest.select("id").distinct().join(components(out), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    more = verified(rare_pairs(rest, bags), reps, bags)
+    return cut_lineage(out.union(more.filter("near").select("a", "b")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
