@@ -36,18 +36,18 @@ from .common import cut_lineage, salted_join, table, text_key
 from .hashing import P, Spans, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
-EDGE = r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
     """128 bits that stand for a line."""
-    return F.concat(F.lpad(F.hex(F.xxhash64(line)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), line)), 16, "0"))
+    return F.concat_ws(":", F.xxhash64(line).cast("string"), F.xxhash64(F.lit(1), line).cast("string"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, _key, at, line for every line that is not blank."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.withColumn("line", F.regexp_replace("line", EDGE, "")).filter("line <> ''")
+    return rows.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''")
 
 
 def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +174,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = salted_join(rows.select("id", "doc_id", "_key", "at"), known, "id", "n").filter(F.col("all") | (place != F.col("f")))
     gone = gone.groupBy("doc_id", "_key").agg(F.collect_set("at").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_gone")
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_k")), "left")
-    left = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return out.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_new": text}).select(*[F.col("_new").alias("text") if c == "text" else c for c in docs.columns], "n_lines", "n_removed")
