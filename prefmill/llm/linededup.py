@@ -36,12 +36,13 @@ from .common import cut_lineage, salted_join, table, text_key
 from .hashing import P, Spans, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
+ID = "struct<k:bigint,k2:bigint>"
 BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
     """128 bits that stand for a line."""
-    return F.concat_ws(":", F.xxhash64(line).cast("string"), F.xxhash64(F.lit(1), line).cast("string"))
+    return F.struct(F.xxhash64(line).alias("k"), F.xxhash64(F.lit(1), line).alias("k2"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def deletion_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first = np.append(True, w[1:] != w[:-1])  # a run of equal characters gives one text
             key = np.concatenate([place, without[first], own]).view(np.int64)
             short = pa.array([None] * n + [False] * int(first.sum()) + [True], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([k.as_py()] * len(key), pa.string()), short], ["key", "id", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([k.as_py()] * len(key), k.type), short], ["key", "id", "short"])
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -138,20 +139,20 @@ def verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def earlier_lines(distinct: DataFrame) -> DataFrame:
     """(id, line, f) of distinct lines, f the first place -> (id, g): the first place of the lines within TAU edits."""
     long = distinct.filter(F.length("line") >= MIN_CHARS)
-    rows = long.mapInArrow(segment_rows, "key long, id string, probe boolean")
+    rows = long.mapInArrow(segment_rows, f"key long, id {ID}, probe boolean")
     met = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("probe").alias("p")).filter("n > 1 AND n > p"))
     rows = cut_lineage(salted_join(rows, met, "key", "n"))
     few = rows.filter(f"n <= {HOT}")
     pairs = few.filter("NOT probe").select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b"), "probe"), "key")
     pairs = cut_lineage(pairs.filter("probe OR a < b").select("a", "b").distinct())
     text = long.select("id", "line")
-    verified = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").mapInArrow(verify_rows, "a string, b string")
+    verified = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").mapInArrow(verify_rows, f"a {ID}, b {ID}")
     verified = cut_lineage(verified.filter("a <> b"))
     place = long.select("id", "f")
     out = verified.join(place.toDF("b", "f"), "b").select(F.col("a").alias("id"), "f").union(verified.join(place.toDF("a", "f"), "a").select(F.col("b").alias("id"), "f"))
     hot = cut_lineage(rows.filter(f"n > {HOT}").select("id").distinct())
     if not hot.isEmpty():
-        d = cut_lineage(long.join(hot, "id").select("id", "line").mapInArrow(deletion_rows, "key long, id string, short boolean").join(place, "id"))
+        d = cut_lineage(long.join(hot, "id").select("id", "line").mapInArrow(deletion_rows, f"key long, id {ID}, short boolean").join(place, "id"))
         g = d.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("short").isNull(), F.col("f"))).alias("same"), F.min(F.when(F.col("short"), F.col("f"))).alias("own"), F.min(F.when(~F.col("short"), F.col("f"))).alias("longer")).filter("n > 1")
         near = salted_join(d.select("key", "id", "short"), cut_lineage(g), "key", "n")
         near = near.select("id", F.when(F.col("short").isNull(), F.col("same")).when(F.col("short"), F.col("longer")).otherwise(F.col("own")).alias("f"))
