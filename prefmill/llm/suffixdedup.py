@@ -9,6 +9,7 @@ Where a K-gram has unequal runs, the first of each kind sends its bytes: the suf
 anchors are sorted by a multikey quicksort to a shallow depth and, where their common
 prefixes are longer, by blind tries; windows are equal if their right parts lie in one
 interval of the array with common prefixes long enough, and their left parts are equal.
+Runs that repeat one of the same block of texts are told apart before that and dealt out at random;
 K-grams with over HOT kinds of runs are spread by offset and window hash, so no task holds all of one.
 
 Defined cases: a null text is empty; texts of fewer than WINDOW bytes lose nothing; rows equal
@@ -54,6 +55,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray, grams: np.ndarray) -> tuple[n
     return starts, (np.minimum(right[starts], left[starts + m - 1]) & LOW32).astype(np.int64)
 
 
+def repeats(batch: pa.RecordBatch, h: np.ndarray, s: np.ndarray, row: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Runs that repeat an earlier one of the same block. They go whatever else there is, so they need not meet the others of their K-gram."""
+    doc, key = batch.column("doc_id"), batch.column("_key").to_numpy()
+    none, doc = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+    by = np.lexsort((key, doc, none))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(np.append(0, (np.diff(doc[by]) != 0) | (np.diff(key[by]) != 0) | (np.diff(none[by].astype(int)) != 0))) if len(by) else by
+    place = rank[row] << 32 | p
+    order = np.lexsort((place, s, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1])) if len(order) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = place[order] != place[order][head]
+    return out
+
+
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in blocks(batches):
         s = Spans(data)
@@ -66,13 +83,15 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(first, len(start)))
         p, a, row = start[first], anchor[first], row[first]
         same = s.of(p, p + n - 1 + WINDOW) ^ mix((a - p).astype(np.uint64))
+        h, p, done = grams[a], p - offsets[row], repeats(batch, grams[a], same, row, p - offsets[row])
+        h = np.where(done, mix(same ^ mix(p.astype(np.uint64) + (row.astype(np.uint64) << np.uint64(40)))), h)
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(grams[a].view(np.int64)), pa.array(same.view(np.int64)), batch.column("doc_id").take(take), batch.column("_key").take(take),
-                pa.array((p - offsets[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((a - p).astype(np.int32)),
+                pa.array(h.view(np.int64)), pa.array(same.view(np.int64)), batch.column("doc_id").take(take), batch.column("_key").take(take),
+                pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((a - start[first]).astype(np.int32)), pa.array(done),
             ],
-            ["h", "s", "doc_id", "_key", "p", "n", "off"],
+            ["h", "s", "doc_id", "_key", "p", "n", "off", "done"],
         )
 
 
@@ -93,11 +112,13 @@ def met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_h = np.append(True, h[1:] != h[:-1])
         new_s = new_h | np.append(True, s[1:] != s[:-1])
         head_h, head_s = np.maximum.accumulate(np.where(new_h, at, 0)), np.maximum.accumulate(np.where(new_s, at, 0))
+        done = rows.column("done").to_numpy(zero_copy_only=False)
         count = np.cumsum(new_s)
         rank = count - count[head_h]
         fresh = at >= old
         other = ~new_s & fresh & ((doc != doc[head_s]) | (none != none[head_s]) | (key != key[head_s]) | (p != p[head_s]))
-        kinds = np.flatnonzero(new_s & fresh & (rank >= 1))
+        other |= done & fresh
+        kinds = np.flatnonzero(new_s & fresh & ~done & (rank >= 1))
         firsts = head_h[kinds[rank[kinds] == 1]]
         out = np.concatenate([np.flatnonzero(other), firsts, kinds])
         v = np.concatenate([np.zeros(other.sum(), np.int32), np.ones(len(firsts) + len(kinds), np.int32)])
@@ -285,7 +306,7 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, _key, _gone): the byte spans that go, possibly overlapping, of every document that has any."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
-    runs = d.mapInArrow(run_rows, "h long, s long, doc_id long, _key long, p int, n int, off int").repartition("h")
+    runs = d.mapInArrow(run_rows, "h long, s long, doc_id long, _key long, p int, n int, off int, done boolean").repartition("h")
     runs = runs.sortWithinPartitions("h", "s", F.col("doc_id").asc_nulls_last(), "_key", "p")
     met = cut_lineage(runs.mapInArrow(met_rows, "h long, doc_id long, _key long, p int, n int, off int, v int"))
     whole = met.filter("v = 0").select("doc_id", "_key", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + WINDOW).alias("end"))
