@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.prompts import answer_prompt, flat, step_prompt
 from ..functions.text import final_answer, reasoning_steps
 from ..operators import pairs as P
 from ..operators import queries as Q
@@ -36,15 +37,16 @@ def score_traces(attempts: DataFrame, questions: DataFrame, scorer: PromptScorer
     """Parses attempts, scores steps and answers in batches and composes the trace score."""
     t = attempts.withColumns({"steps": reasoning_steps(F.col("raw_generation")), "final_answer": final_answer(F.col("raw_generation"))})
     t = t.withColumn("trace_id", F.concat_ws("_", "qid", "model", F.col("attempt").cast("string"))).join(questions.select("qid", "question", "docs", "gold_answer"), "qid")
-    about = F.concat_ws("\n\n", F.array_join("docs", "\n\n"), "question")
-    steps = scorer.score(t.select("trace_id", F.posexplode("steps").alias("i", "step"), about.alias("about")).select("trace_id", "i", F.concat_ws("\n\n", "about", "step").alias("prompt")))
+    each = t.select("trace_id", "docs", "question", F.posexplode("steps").alias("i", "step"))
+    steps = scorer.score(each.select("trace_id", "i", flat(step_prompt(F.col("docs"), F.col("question"), F.col("step"), F.col("i") + 1)).alias("prompt")))
     p = steps.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p_plus"))), lambda x: x["p_plus"]).alias("p"))
-    final = scorer.score(t.filter("final_answer IS NOT NULL").select("trace_id", F.concat_ws("\n\n", about, F.array_join("steps", "\n"), "final_answer").alias("prompt"))).select("trace_id", F.col("p_plus").alias("_final"))
+    asked = flat(answer_prompt(F.col("docs"), F.col("question"), F.col("steps"), F.col("final_answer"))).alias("prompt")
+    final = scorer.score(t.filter("final_answer IS NOT NULL").select("trace_id", asked)).select("trace_id", F.col("p_plus").alias("_final"))
     t = t.join(p, "trace_id", "left").join(final, "trace_id", "left").withColumn("p", F.coalesce("p", F.array().cast("array<double>")))
     score, margin = T.score_final(F.col("final_answer"), F.col("_final"))
     t = t.withColumns(T.step_summary(F.col("p"))).withColumns({"final_answer_score": score, "final_answer_margin": margin})
     t = T.trace_scores(t).withColumn("invalid_reason", T.validity(F.col("final_answer"), F.col("num_scored_steps")))
-    return t.withColumn("is_valid", F.col("invalid_reason") == "ok").withColumn("valid", F.col("is_valid")).drop("_final", "about")
+    return t.withColumn("is_valid", F.col("invalid_reason") == "ok").withColumn("valid", F.col("is_valid")).drop("_final")
 
 
 def pairs(spark: SparkSession, questions: DataFrame, generator: TraceGenerator, scorer: PromptScorer, out: str) -> None:

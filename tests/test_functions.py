@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefmill.functions import fixed as X
+from prefmill.functions import prompts as M
 from prefmill.functions import text as T
 from prefmill.functions import tokens as K
 from prefmill.operators import pairs as P
@@ -161,3 +162,11 @@ def test_pairs_and_dedup(spark):
 def test_vote(spark):
     t = spark.createDataFrame([("q", 0, "A", 0.9), ("q", 1, "B", 0.5), ("q", 2, "B", 0.5)], "qid string, sample_index int, final_answer string, trace_score double").withColumn("final_answer_score", F.lit(0.5))
     assert P.vote(t).filter("rank = 1").first().answer == "B"
+
+
+def test_prompts(spark):
+    docs, q = F.array(F.lit("d1"), F.lit("d2")), F.lit(" q ")
+    assert one(spark, M.step_prompt(docs, q, F.lit(" s "), F.lit(2))["user"]) == "Documents:\nd1\n\nd2\n\nQuestion:\nq\n\nCURRENT STEP #2:\n```text\ns\n```\n\nOutput one symbol (+ or -)."
+    assert one(spark, M.answer_prompt(docs, q, F.array(F.lit("a"), F.lit("b")), F.lit("C"))["user"]).endswith("Reasoning Trace:\n- a\n- b\n\nChosen Final Answer: (C)\n\nOutput one symbol (+ or -).")
+    assert one(spark, M.policy_prompt(docs, q, with_docs=False)["user"]) == "Question:\nq\n\nPlease follow the required format exactly."
+    assert one(spark, M.policy_prompt(docs, q, strict=True)["system"]) == M.POLICY_STRICT
