@@ -176,8 +176,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy("doc_id", "_key").agg(F.collect_set("at").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_gone")
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_k")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
+    # A line that is not blank is its first other character and what follows up to its end.
+    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return out.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_new": text}).select(*[F.col("_new").alias("text") if c == "text" else c for c in docs.columns], "n_lines", "n_removed")
 
