@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of texts at once; a longer text is a batch of its own."""
+    """Bounds what a Python worker holds of texts at once; a longer text is a batch of its own. Workers look for this package where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

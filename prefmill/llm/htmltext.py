@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .hashing import Words, text_bytes
 
 PAGES, EPOCHS, SEED = 1200, 14, 5
@@ -336,7 +336,7 @@ def extract_rows(batches: Iterator[pa.RecordBatch], model: Labeller) -> Iterator
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_blocks of every page. Nothing is shuffled."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(pages.sparkSession)
     model = labeller()
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(lambda batches: extract_rows(batches, model), "page_id long, url string, text string, n_chars long, n_blocks long")

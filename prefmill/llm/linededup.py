@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, salted_join, table, text_key
+from .common import cut_lineage, salted_join, small_batches, table, text_key
 from .hashing import P, Spans, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines removed from text, and n_lines and n_removed, both without blank lines."""
     docs = docs.drop("n_lines", "n_removed")
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    small_batches(spark)
     rows = lines_of(docs.select("doc_id", "text")).withColumn("id", line_key(F.col("line")))
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_key", "at")
     distinct = cut_lineage(rows.groupBy("id").agg(F.min(place).alias("f"), F.first("line").alias("line"), F.count("*").alias("n")))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, salted_join, table, text_key
+from .common import cut_lineage, salted_join, small_batches, table, text_key
 from .hashing import Q, Spans, Words, blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -236,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, _key, class_id (smallest doc_id), class_size, same (rows equal in doc_id and text) and first."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, _key long, n1 long, n2 long, n_words long, bands array<long>, sketch binary"
     signed = cut_lineage(docs.withColumn("_key", text_key(F.col("text"))).mapInArrow(signed_rows, schema))

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, salted_join, table, text_key
+from .common import cut_lineage, salted_join, small_batches, table, text_key
 from .hashing import Q, Spans, Words, blocks
 
 RUN, MIN_WORDS = 3, 12
 #: A word in so many ends a sentence whatever its characters.
-CUT_EVERY = 16
+CUT_EVERY = 8
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
@@ -97,7 +97,7 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """docs with the repeated sentences removed from text, and n_sentences, n_removed and n_removed_words."""
     docs = docs.drop("n_sentences", "n_removed", "n_removed_words", "_key", "_spans")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("_key", text_key(F.col("text")))
     schema = "hash long, doc_id long, _key long, at int, end int"
     rows = keyed.select(F.col("doc_id").cast("long"), "_key", "text").mapInArrow(span_rows, schema)
