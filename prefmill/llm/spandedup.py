@@ -1,8 +1,10 @@
 """Substring dedup by sliding spans of sentences.
 
-Texts are cut into sentences (after . ! ? and line ends, and within a
-sentence after words picked by their hash, so that a passage pasted into a
-sentence lines up again after a few words). Every run of consecutive sentences
+Texts are cut into sentences (after . ! ? and line ends, and in every WINDOW words
+without such an end after the word of the least hash). So no sentence has over WINDOW words, and
+what is cut depends on WINDOW - 1 words to each side only: of two copies of a passage of n words the cuts
+from word WINDOW to word n - WINDOW + 1 are the same, and 6 * WINDOW - 2 = 46 words hold a whole run
+wherever they are pasted. Every run of consecutive sentences
 with at least RUN sentences and MIN_WORDS words is hashed; runs met before, in the order
 of doc_id and place, are found with one global aggregation and one join; the
 sentences that such a run covers are removed.
@@ -26,8 +28,8 @@ from .common import cut_lineage, salted_join, small_batches, table, text_key
 from .hashing import Q, Spans, Words, blocks
 
 RUN, MIN_WORDS = 3, 12
-#: A word in so many ends a sentence whatever its characters.
-CUT_EVERY = 8
+#: Of so many words in a row one ends a sentence.
+WINDOW = 8
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
@@ -35,10 +37,14 @@ STOPS[list(b".!?")] = True
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """First and last word of each sentence of a block."""
     lines = np.concatenate([[0], np.cumsum(w.data == 10)])
-    last = STOPS[w.data[w.ends - 1]] | (w.hash % np.uint64(CUT_EVERY) == 0)
+    last = STOPS[w.data[w.ends - 1]]
     if len(last):
         last[:-1] |= (lines[w.starts[1:]] > lines[w.ends[:-1]]) | (w.row[1:] != w.row[:-1])
         last[-1] = True
+    if len(last) >= WINDOW:
+        # An end of its own is less than any hash; of equal words the last one counts.
+        views = np.lib.stride_tricks.sliding_window_view(np.where(last, np.uint64(0), w.hash | np.uint64(1)), WINDOW)[:, ::-1]
+        last[np.arange(len(views)) + WINDOW - 1 - views.argmin(1)] = True
     end = np.flatnonzero(last)
     return np.concatenate([[0], end[:-1] + 1]) if len(end) else end, end
 

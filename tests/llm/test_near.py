@@ -142,3 +142,15 @@ def test_passage_inside_sentences(spark):
     out = {r.doc_id: r.n_removed_words for r in spandedup.dedup_spans(df).collect()}
     assert out[0] == 0
     assert all(30 <= out[i] <= 60 for i in range(1, 30))
+
+
+def test_every_passage_of_50_words_holds_a_run(spark):
+    """Without any stop, wherever it is pasted; and no sentence is longer than the window."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(300):
+        passage = [word() for _ in range(50)]
+        texts += [" ".join([*(word() for _ in range(rng.randrange(5, 40))), *passage, *(word() for _ in range(40))]) for _ in range(2)]
+    out = {r.doc_id: r.n_removed_words for r in spandedup.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(out[i] == 0 for i in range(0, 600, 2)) and all(12 <= out[i] <= 50 for i in range(1, 600, 2))
