@@ -10,7 +10,9 @@ process gets the same weights.
 
 Defined cases: a null html is empty; pages without main blocks give an empty text; unclosed
 elements, comments and scripts end with the page. Only scripts, styles, the head, form
-controls and the like never make blocks; a line break inside a block is white space. Pages of any length
+controls and the like never make blocks; those other than RAW have to be closed, or they are
+empty. A line break inside a
+block is white space. Pages of any length
 are read whole. Equal rows get equal results. Other columns are ignored.
 """
 
@@ -33,18 +35,55 @@ from .hashing import Words, text_bytes
 
 PAGES, EPOCHS, SEED = 1200, 14, 5
 PATH_BUCKETS, PATH_DIM, WORD_BUCKETS, WORD_DIM, NUMBERS, HIDDEN = 1024, 12, 1024, 6, 5, 12
-#: Elements whose content is no text of the page, and those that don't end a block.
-SKIPPED = "script style noscript template svg math iframe object title select textarea button canvas audio video"
+#: Elements whose content is no text of the page (RAW: up to their end tag or the end of the page), and those that don't end a block.
+RAW = frozenset("script style textarea title".split())
+SKIPPED = RAW | frozenset("noscript template svg math iframe object select button canvas audio video".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the first kind ends an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)({'|'.join(sorted(SKIPPED))})(?=[\s/>])([^>]*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I
 )
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
+SELF_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def pieces(html: str) -> list[tuple[bool, str, str, str]]:
+    """(end, tag, attributes, "") of each tag and (False, "", "", text) of each text, without comments and what is in skipped elements."""
+    out: list[tuple[bool, str, str, str]] = []
+    opened: dict[str, list[int]] = {}
+    to: dict[int, int] = {}
+    at = 0
+    while at < len(html):
+        m = PIECE.match(html, at)
+        at = m.end()
+        tag, end, names = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if not tag:
+            if m[7]:
+                out.append((False, "", "", m[7]))
+            continue
+        if tag in SKIPPED:
+            closed = SELF_CLOSED.search(names)
+            if end and opened.get(tag):
+                to[opened[tag].pop()] = len(out)
+                continue
+            if tag in RAW and not end and not (closed and (opened.get("svg") or opened.get("math"))):
+                m = RAW_END[tag].search(html, at)
+                at = m.end() if m else len(html)
+            elif tag not in RAW and not end and not closed:
+                if tag in ("select", "button"):  # these are never in one another: the one before was not closed
+                    opened[tag] = []
+                opened.setdefault(tag, []).append(len(out))
+        out.append((end, tag, names, ""))
+    kept, i = [], 0
+    while i < len(out):
+        kept.append(out[i])
+        i = to.get(i, i + 1)
+    return kept
+
+
 def blocks_of(html: str) -> list[tuple[str, str, float]]:
     """(tag path, text, share of the text in links) of each leaf block."""
     out: list[tuple[str, str, float]] = []
@@ -61,17 +100,15 @@ def blocks_of(html: str) -> list[tuple[str, str, float]]:
                 out.append((path, whole, min(1.0, linked / max(1, sum(map(len, text))))))
             text, linked = [], 0
 
-    for m in PIECE.finditer(html):
-        data = m[5]
-        if data is not None:
+    for end, tag, names, data in pieces(html):
+        if not tag:
             text.append(data)
             if links:
                 linked += len(data)
             continue
-        if m[3] is None:
+        if tag in SKIPPED and not end:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if end:
             if tag == "a":
                 links = 0
             if tag in INLINE:
@@ -94,8 +131,8 @@ def blocks_of(html: str) -> list[tuple[str, str, float]]:
             if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
                 stack.pop()
             name = tag
-            if m[4]:
-                for a in NAMES.findall(m[4]):
+            if names:
+                for a in NAMES.findall(names):
                     name += "".join(" " + tag + "." + x for x in re.split(r"[\s_-]+", max(a).lower()) if x)
             stack.append((tag, name))
         path = "\n".join(x[1] for x in stack)

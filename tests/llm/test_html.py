@@ -60,3 +60,17 @@ def test_blocks():
     found = H.blocks_of("<body><nav><a href=/x>One</a></nav><p>A  <b>b</b>&nbsp;c<br>d<p>e</body>")
     assert [b[1] for b in found] == ["One", "A b c d", "e"]
     assert found[0][2] == 1.0 and found[1][2] == 0.0
+
+
+def texts(page):
+    return [b[1] for b in H.blocks_of(page)]
+
+
+def test_skipped_elements_end_where_they_end():
+    for odd in ("<svg width=1 />", "<math/>", "<iframe src='x'/>", "<select>", "<button>", "<object data=x>", "<SVG class='a>b'/>", "<svg><title/><path/></svg>", "<canvas><button>"):
+        assert texts(f"<p>a</p>{odd}<p>b</p><{odd[1:4]}x>") == ["a", "b"], odd
+        assert texts(f"<p>a</p>{odd}<p>b</p><button>no</button><object><svg>no</svg></object><select><option>no</select><math>no</math><iframe>no</iframe><p>c") == ["a", "b", "c"], odd
+    assert texts("<p>a</p><title-box>b</title-box><object-view>c</object-view>") == ["a", "b", "c"]
+    assert texts("<p>a<object>no<object>no</object>no</object>b<script>if (a < '<p>') x</script >c<svg><style>no</style>no</svg>d") == ["abcd"]
+    for raw in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a</p><{raw}>no<p>no") == ["a"]
