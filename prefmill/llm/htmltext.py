@@ -9,9 +9,9 @@ input) whose labels are known because the generator makes them; the seed is fixe
 process gets the same weights.
 
 Defined cases: a null html is empty; pages without main blocks give an empty text; unclosed
-elements, comments and scripts end with the page. Only scripts, styles, the head, form
+elements, comments and scripts end with the page. Only scripts, styles, the title, form
 controls and the like never make blocks; those other than RAW have to be closed, or they are
-empty. A line break inside a
+empty. The head ends before the first text or element that can't be in it. A line break inside a
 block is white space. Pages of any length
 are read whole. Equal rows get equal results. Other columns are ignored.
 """
@@ -38,6 +38,8 @@ PATH_BUCKETS, PATH_DIM, WORD_BUCKETS, WORD_DIM, NUMBERS, HIDDEN = 1024, 12, 1024
 #: Elements whose content is no text of the page (RAW: up to their end tag or the end of the page), and those that don't end a block.
 RAW = frozenset("script style textarea title".split())
 SKIPPED = RAW | frozenset("noscript template svg math iframe object select button canvas audio video".split())
+#: What can be in a head without ending it.
+IN_HEAD = frozenset("base link meta script style noscript template title".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the first kind ends an open one of the second.
@@ -101,6 +103,13 @@ def blocks_of(html: str) -> list[tuple[str, str, float]]:
             text, linked = [], 0
 
     for end, tag, names, data in pieces(html):
+        if stack and stack[-1][0] == "head" and not end:
+            if tag in ("html", "head"):
+                continue
+            if data.strip() if not tag else tag not in IN_HEAD:
+                flush()
+                stack.pop()
+                path = "\n".join(x[1] for x in stack)
         if not tag:
             text.append(data)
             if links:
@@ -139,7 +148,7 @@ def blocks_of(html: str) -> list[tuple[str, str, float]]:
         if tag in ("p", "li", "div", "td"):
             links = 0
     flush()
-    return [b for b in out if not b[0].startswith("html\nhead") and b[0].split("\n")[0] != "head"]
+    return out
 
 
 @functools.lru_cache(100_000)

@@ -66,6 +66,16 @@ def texts(page):
     return [b[1] for b in H.blocks_of(page)]
 
 
+def test_head_without_end_tag(spark):
+    page = "<!DOCTYPE html><html><head><meta charset=utf-8><title>x</title><style>p{}</style>%s<body><article><h1>A heading here</h1><p>One sentence of the article, long enough.</article>"
+    assert texts(page % "") == texts(page % "</head>") == ["A heading here", "One sentence of the article, long enough."]
+    assert texts("<html><head><title>x</title><p>a<p>b") == ["a", "b"] and texts("<head><title>x</title> some <b>text</b>") == ["some text"]
+    assert texts("<html><header><p>Top</p></header><body><p>a</body>") == ["Top", "a"]
+    df = spark.createDataFrame([(1, "u", page % ""), (2, "u", page % "</head>")], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in H.extract_text(df).collect()}
+    assert out[1] == out[2] and "One sentence" in out[1]
+
+
 def test_skipped_elements_end_where_they_end():
     for odd in ("<svg width=1 />", "<math/>", "<iframe src='x'/>", "<select>", "<button>", "<object data=x>", "<SVG class='a>b'/>", "<svg><title/><path/></svg>", "<canvas><button>"):
         assert texts(f"<p>a</p>{odd}<p>b</p><{odd[1:4]}x>") == ["a", "b"], odd
