@@ -126,6 +126,25 @@ def test_link_graph(spark):
     assert got == {1: ("org/", "allow"), 2: (None, "allow"), 3: (None, "block"), 4: ("com/de/", "block"), 5: (None, "allow")}
 
 
+def test_link_graph_long_chain(spark):
+    """However many links lie between: 14 hosts before a blocked one, and a circle that leads to it."""
+    pages = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(13)] + [(13, "http://h13.net/", "<a href=http://bad.com/de/1>"), (14, "http://bad.com/de/1", ""), (15, "http://alone.net/", "")]
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlgraph.judge_urls(frame(pages)).collect()}
+    assert got == {i: "allow" if i == 15 else "block" for i in range(16)}
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 1.0)], "host string, seed_trust double, seed_distrust double")
+    out = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(seeds, edges).collect()}
+    # Solved by hand: the scores are 0.15 of the seeds and 0.85 of what the links bring.
+    d = 0.85
+    a = 0.15 / (1 - d * d * (1 + d) / 2)
+    assert out["a"][0] == pytest.approx(a, abs=1e-11) and out["b"][0] == pytest.approx(d * a, abs=1e-11) and out["c"][0] == pytest.approx(d * d * a / 2, abs=1e-11)
+    # Against the links: c gets from a's half, b from c's whole and a's half, a from b's whole.
+    c = 0.15 / (1 - d / 2 * d * d / (1 - d * d / 2))
+    b = d * c / (1 - d * d / 2)
+    assert out["c"][1] == pytest.approx(c, abs=1e-11) and out["b"][1] == pytest.approx(b, abs=1e-11) and out["a"][1] == pytest.approx(d * b, abs=1e-11)
+
+
 def test_pipeline(spark):
     """Each stage on its own input: columns, whole results, and brute force where one exists."""
     import corpus_pipeline as C
