@@ -6,7 +6,7 @@ name the same K-gram at the same place. The windows of a text with one anchor fo
 
 Runs meet by their anchor's K-gram. Runs with equal bytes repeat the first of them in whole.
 Where a K-gram has unequal runs, the first of each kind sends its bytes: the suffixes behind the
-anchors are sorted by a multikey quicksort to a shallow depth and, where their common
+anchors are sorted by numpy's lexsort of two 8-byte keys to a shallow depth and, where their common
 prefixes are longer, by blind tries; windows are equal if their right parts lie in one
 interval of the array with common prefixes long enough, and their left parts are equal.
 Runs that repeat one of the same block of texts are told apart before that and dealt out at random;
@@ -31,7 +31,7 @@ from .common import cut_lineage, small_batches, table, text_key
 from .hashing import Spans, blocks, mix
 
 WINDOW, K = 100, 20
-#: Bytes behind the K-gram that the multikey quicksort looks at, eight at a time.
+#: Bytes behind the K-gram that the shallow sort looks at, eight at a time.
 SHALLOW = 16
 HOT, SALTS = 2000, 64
 LOW32 = np.uint64(0xFFFFFFFF)
