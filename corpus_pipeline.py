@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes from each."""
+    """All documents, with the number of words that the mix takes from each; the reader has to apply ``taken``, also where it is 0 or over size."""
     return mixing.mix_sources(docs)
 
 
