@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,27 +20,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only on a local master that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="prefmill-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prefmill-"))
     return sc.getCheckpointDir()
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as a table written to the shared folder.
 
-    Unlike a checkpoint's, its statistics are those of its files; estimates that
-    are handed on would multiply in loops. The folder is removed at exit.
+    Unlike a checkpoint's, its statistics are those of its files: estimates that
+    are handed on would multiply in loops, and Spark broadcasts it in a join only where its
+    bytes are under spark.sql.autoBroadcastJoinThreshold. The folder is removed at exit.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/prefmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators over all columns of their first argument: their own columns begin with _, so input columns that do are called otherwise while they run."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        names: dict[str, str] = {}
+        for c in docs.columns:
+            if c.startswith("_"):
+                new = f"own{c}"
+                while new.lower() in taken:
+                    new = "x" + new
+                taken.add(new.lower())
+                names[c] = new
+        out = operator(docs.withColumnsRenamed(names), *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of texts at once; a longer text is a batch of its own. Workers look for this package where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
@@ -74,7 +103,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
     total = right.agg(F.sum(weight)).first()[0] or 0
     hot = right.filter((F.col(weight) > total / share) & (F.col(weight) > 2_000)).select(F.col(key).alias("_hot"))
     left = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.floor(F.rand(7) * salts).cast("int")).otherwise(0)).drop("_hot")
+    own = F.pmod(F.xxhash64(*[c for c in left.columns if c != "_hot"]), F.lit(salts)).cast("int")  # of the row itself, so a task that runs again deals as before
+    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), own).otherwise(0)).drop("_hot")
     n = F.when((F.col(weight) > total / share) & (F.col(weight) > 2_000), salts).otherwise(1)
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
     return left.join(right, [key, "_salt"], how).drop("_salt")

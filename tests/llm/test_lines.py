@@ -1,6 +1,7 @@
 """Line dedup against brute force."""
 
 import random
+import time
 
 import pytest
 
@@ -36,7 +37,7 @@ def test_bit_parallel_distance():
             assert L.within(a, b, tau) == L.within(*L.unlike(a, b), tau) == (distance(a, b) <= tau), (a, b, tau)
 
 
-def brute(docs):
+def brute(docs, tau=L.TAU):
     """Texts left over, with a scan of all lines before each line."""
     seen, out = [], []
     exact = set()
@@ -46,7 +47,7 @@ def brute(docs):
             s = line.strip(EDGE)
             gone = False
             if s:
-                gone = s in exact or len(s) >= L.MIN_CHARS and any(abs(len(s) - len(t)) <= 1 and len(t) >= L.MIN_CHARS and L.within(s, t, 1) for t in seen)
+                gone = s in exact or len(s) >= L.MIN_CHARS and any(abs(len(s) - len(t)) <= tau and len(t) >= L.MIN_CHARS and L.within(*L.unlike(s, t), tau) for t in seen)
                 if s not in exact:
                     exact.add(s)
                     seen.append(s)
@@ -68,17 +69,67 @@ def noisy(rng, base):
     return "".join(s)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_matches_brute_force(spark, hot):
+@pytest.mark.parametrize(("tau", "hot", "one_base"), [(1, 32, False), (1, 32, True), (1, 2, True), (2, 32, False), (2, 3, True), (3, 4, True)])
+def test_matches_brute_force(spark, tau, hot, one_base):
+    """With few rows a key, segments are split again level by level, down to characters."""
     rng = random.Random(3)
-    bases = ["".join(rng.choice("abcdefg h") for _ in range(n)) for n in ([40] if hot else (10, 19, 20, 21, 22, 40, 60, 80))]
+    bases = ["".join(rng.choice("abcdefg h") for _ in range(n)) for n in ([30] if one_base else (10, 19, 20, 21, 22, 40, 60, 80))]
     docs = []
     for i in range(60):
-        lines = [noisy(rng, noisy(rng, rng.choice(bases))) if rng.random() < 0.8 else rng.choice(["", "  ", " x ", "y"]) for _ in range(5)]
+        lines = []
+        for _ in range(5):
+            s = rng.choice(bases)
+            for _ in range(rng.randrange(2, 2 * tau + 2)):
+                s = noisy(rng, s)
+            lines.append(s if rng.random() < 0.8 else rng.choice(["", "  ", " x ", "y"]))
         docs.append((i, "\n".join(lines)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
-    assert [got[i] for i in range(60)] == brute(docs)
+    got = {r.doc_id: r.text for r in L.dedup_lines(df, tau, hot=hot).collect()}
+    assert [got[i] for i in range(60)] == brute(docs, tau)
+
+
+def shared(tau, a, b, code_a, code_b):
+    """Whether the lines meet in a key that says they are near, with the finer levels followed to their end."""
+    todo = [(0, L.opened(len(a), code_a, tau), L.opened(len(b), code_b, tau))]
+    named = lambda regions: [dict(zip(("start", "n", "indexed", "edits"), x)) for x in regions]
+    while todo:
+        key, ra, rb = todo.pop()
+        x = dict(L.finer(key, a, named(ra), False))
+        for k, left in L.finer(key, b, named(rb), True):  # a key may be there with more than one shift
+            if k in x and x[k] is None:
+                return True
+            if k in x:
+                todo.append((k, x[k], left))
+    return False
+
+
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_levels_end_in_near_lines_only(tau):
+    """Two lines meet in a last key if and only if they are within tau edits."""
+    rng = random.Random(tau)
+    codes = L.first_codes(tau)
+    for _ in range(400):
+        a = b = "".join(rng.choice("abc") for _ in range(rng.randrange(2 * tau + 1, 16)))
+        for _ in range(rng.randrange(2 * tau + 1)):
+            b = noisy(rng, b).replace("x", "a").replace("y", "b")
+        if len(b) < len(a):
+            a, b = b, a
+        if len(a) <= tau or len(b) - len(a) > tau:
+            continue
+        n, met = len(a), False
+        for i, (d, p, s) in enumerate(codes):
+            low, high = n * p // (tau + 1), n * (p + 1) // (tau + 1)
+            if d == len(b) - n and 0 <= low + s and high + s <= len(b) and a[low:high] == b[low + s : high + s]:
+                met = met or shared(tau, a, b, p, i)
+        assert met == (distance(a, b) <= tau), (a, b)
+
+
+def test_many_lines_of_one_document(spark):
+    """What is removed from a document is found in time linear in its lines."""
+    text = "\n".join(f"{i % 20000:05d} a line that is there twice" for i in range(40000))
+    started = time.time()
+    row = L.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), min_chars=100).first()
+    assert row.n_removed == 20000 and row.text == text[: len(text) // 2] and time.time() - started < 30
 
 
 def test_whole_table_exact_and_near(spark):
