@@ -8,12 +8,14 @@ It is trained when first used on PAGES generated pages (a documented bound, inde
 input) whose labels are known because the generator makes them; the seed is fixed, so every
 process gets the same weights.
 
-Defined cases: a null html is empty; pages without main blocks give an empty text; unclosed
-elements, comments and scripts end with the page. Only scripts, styles, the title, form
-controls and the like never make blocks; those other than RAW have to be closed, or they are
-empty. The head ends before the first text or element that can't be in it. A line break inside a
-block is white space. Pages of any length
-are read whole. Equal rows get equal results. Other columns are ignored.
+Defined cases: a null html is empty; pages without main blocks give an empty text. Tags are read in one
+pass in time linear in the page, attributes with stray quotes included; unclosed comments and
+scripts, and a tag without an end, take the rest of the page. Only RAW elements (scripts, styles, the
+title and other plain characters), templates and lists of choices never make blocks; other skipped elements end with
+the element that they are in. Text of formulas and drawings stands in the line that holds them. The head
+ends before the first text or element that can't be in it. A line break inside a
+block is white space. Pages of any length and depth
+are read whole; of a path deeper than 64 elements the outer 16 and inner 48 are features. Equal rows get equal results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,116 +37,199 @@ from .hashing import Words, text_bytes
 
 PAGES, EPOCHS, SEED = 1200, 14, 5
 PATH_BUCKETS, PATH_DIM, WORD_BUCKETS, WORD_DIM, NUMBERS, HIDDEN = 1024, 12, 1024, 6, 5, 12
-#: Elements whose content is no text of the page (RAW: up to their end tag or the end of the page), and those that don't end a block.
-RAW = frozenset("script style textarea title".split())
-SKIPPED = RAW | frozenset("noscript template svg math iframe object select button canvas audio video".split())
+#: Elements that hold plain characters up to their end tag or the end of the page, and those whose content is not shown or is a form control.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+SKIPPED = RAW - {"xmp"} | frozenset("template select datalist".split())
 #: What can be in a head without ending it.
 IN_HEAD = frozenset("base link meta script style noscript template title".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An element of the first kind ends an open one of the second.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)({'|'.join(sorted(SKIPPED))})(?=[\s/>])([^>]*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I
+#: Drawings and formulas stand in a line of text; what a drawing says of itself is not shown, and an element that can't be in one ends it.
+FOREIGN, UNSHOWN = frozenset(("svg", "math")), frozenset("title desc metadata style script".split())
+ENDS_FOREIGN = frozenset(
+    "article aside b big blockquote body br center code dd div dl dt em embed footer form h1 h2 h3 h4 h5 h6 head header hr i img li main menu meta nav ol p pre ruby s section small span strike strong sub sup table tt u ul var".split()
 )
-RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
-SELF_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
+#: An element of the first kind ends an open one of the second.
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}}
+#: Of the path of a block the labeller reads so many outer and inner elements.
+OUTER, INNER = 16, 48
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: One attribute: its name, and its value with quotes, or up to white space.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+)""")
+#: A tag without oddities, read in one go.
+PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*+)((?:\s++[a-zA-Z][^\s"'>/=]*+(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'>=]++))?+)*+)\s*+(/?)>""")
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def pieces(html: str) -> list[tuple[bool, str, str, str]]:
-    """(end, tag, attributes, "") of each tag and (False, "", "", text) of each text, without comments and what is in skipped elements."""
-    out: list[tuple[bool, str, str, str]] = []
-    opened: dict[str, list[int]] = {}
-    to: dict[int, int] = {}
-    at = 0
-    while at < len(html):
-        m = PIECE.match(html, at)
-        at = m.end()
-        tag, end, names = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not tag:
-            if m[7]:
-                out.append((False, "", "", m[7]))
+def end_of_tag(html: str, at: int) -> tuple[int, bool, str]:
+    """From behind the name of a tag: where it ends (-1 if it does not), whether it closes itself, and its class, id and role."""
+    told = []
+    while True:
+        m = ATTRIBUTE.match(html, at)
+        if m.end() >= len(html):
+            return -1, False, ""
+        if m[1] and m[1].lower() in ("class", "id", "role"):
+            told.append(f' {m[1]}="{(m[2] or m[3] or m[4] or "").replace(chr(34), " ")}"')
+        if html[m.end()] == ">":
+            return m.end() + 1, html[m.end() - 1] == "/" and not m[4], "".join(told)
+        if m.end() == at:  # nothing that an attribute can begin with
+            at += 1
+        else:
+            at = m.end()
+
+
+def pieces(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, tag, attributes, text): kind is "start", "empty" (closes itself), "end" or "text". Every character is looked at a bounded number of times.
+
+    Comments, declarations and what RAW elements hold are left out, but for xmp. A tag that does not end is left out with the rest of the page.
+    """
+    at, size, last = 0, len(html), html.rfind(">")
+    foreign = 0
+    while at < size:
+        begin = html.find("<", at)
+        if begin < 0 or begin + 1 >= size:
+            yield "text", "", "", html[at:]
+            return
+        if begin > at:
+            yield "text", "", "", html[at:begin]
+        after = html[begin + 1]
+        if after == "!" or after == "?":
+            if html.startswith("<!--", begin):
+                if html.startswith(">", begin + 4) or html.startswith("->", begin + 4):
+                    at = html.index(">", begin) + 1
+                    continue
+                end = html.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else size
+            else:
+                end = html.find(">", begin)
+                at = end + 1 if end >= 0 else size
             continue
-        if tag in SKIPPED:
-            closed = SELF_CLOSED.search(names)
-            if end and opened.get(tag):
-                to[opened[tag].pop()] = len(out)
+        m = PLAIN_TAG.match(html, begin)
+        if m:
+            ends, tag, names, closed = bool(m[1]), m[2].lower(), m[3], bool(m[4])
+            at = m.end()
+        else:
+            m = TAG.match(html, begin)
+            if not m:
+                if after == "/" and begin + 2 < size:  # an end tag without a name
+                    end = html.find(">", begin)
+                    at = end + 1 if end >= 0 else size
+                else:
+                    yield "text", "", "", "<"
+                    at = begin + 1
                 continue
-            if tag in RAW and not end and not (closed and (opened.get("svg") or opened.get("math"))):
-                m = RAW_END[tag].search(html, at)
-                at = m.end() if m else len(html)
-            elif tag not in RAW and not end and not closed:
-                if tag in ("select", "button"):  # these are never in one another: the one before was not closed
-                    opened[tag] = []
-                opened.setdefault(tag, []).append(len(out))
-        out.append((end, tag, names, ""))
-    kept, i = [], 0
-    while i < len(out):
-        kept.append(out[i])
-        i = to.get(i, i + 1)
-    return kept
+            if begin > last:
+                return
+            ends, tag = after == "/", m[1].lower()
+            at, closed, names = end_of_tag(html, m.end())
+            if at < 0:
+                return
+        if ends:
+            foreign -= tag in FOREIGN and foreign > 0
+            yield "end", tag, "", ""
+            continue
+        if tag in ENDS_FOREIGN:
+            foreign = 0
+        elif tag in FOREIGN and not closed:
+            foreign += 1
+        if tag in RAW and not foreign:
+            m = RAW_END[tag].search(html, at)
+            if tag == "xmp":
+                yield "text", "", "", html[at : m.start() if m else size]
+            if not m:
+                return
+            at = max(end_of_tag(html, m.end())[0], 0) or size
+            continue
+        yield "empty" if closed else "start", tag, names, ""
 
 
 def blocks_of(html: str) -> list[tuple[str, str, float]]:
     """(tag path, text, share of the text in links) of each leaf block."""
     out: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
+    opened: dict[str, int] = {}
     text: list[str] = []
     linked = links = 0
-    path = ""
+    foreign: list[str] = []
+    muted = 0  # open elements whose text is not shown
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((path, whole, min(1.0, linked / max(1, sum(map(len, text))))))
+                some = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                out.append(("\n".join(x[1] for x in some), whole, min(1.0, linked / max(1, sum(map(len, text))))))
             text, linked = [], 0
 
-    for end, tag, names, data in pieces(html):
-        if stack and stack[-1][0] == "head" and not end:
-            if tag in ("html", "head"):
-                continue
-            if data.strip() if not tag else tag not in IN_HEAD:
+    def close() -> None:
+        nonlocal muted
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        muted -= tag in SKIPPED
+
+    for kind, tag, names, data in pieces(html):
+        if kind == "text":
+            if stack and stack[-1][0] == "head" and data.strip():
                 flush()
-                stack.pop()
-                path = "\n".join(x[1] for x in stack)
-        if not tag:
-            text.append(data)
-            if links:
-                linked += len(data)
+                close()
+            if not muted and not (foreign and foreign[-1] in UNSHOWN):
+                text.append(data)
+                if links:
+                    linked += len(data)
             continue
-        if tag in SKIPPED and not end:
+        if foreign:
+            if kind != "end" and tag not in ENDS_FOREIGN:
+                if kind == "start":
+                    foreign.append(tag)
+                continue
+            if kind == "end" and tag in foreign:
+                while foreign.pop() != tag:
+                    pass
+                continue
+            if kind == "end" and not opened.get(tag):
+                continue
+            foreign = []
+        elif tag in FOREIGN and kind != "end":
+            if kind == "start":
+                foreign.append(tag)
             continue
-        if end:
+        if kind == "end":
             if tag == "a":
                 links = 0
             if tag in INLINE:
                 continue
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag in INLINE:
-            if tag == "a":
-                links = 1
-            elif tag == "br":
-                text.append(" ")
-            continue
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    close()
+                close()
         else:
+            if stack and stack[-1][0] == "head":
+                if tag in ("html", "head"):
+                    continue
+                if tag not in IN_HEAD:
+                    flush()
+                    close()
+            if tag in INLINE:
+                if tag == "a":
+                    links = 1
+                elif tag == "br":
+                    text.append(" ")
+                continue
             flush()
             if tag in EMPTY:
                 continue
             if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
+                close()
             name = tag
             if names:
                 for a in NAMES.findall(names):
                     name += "".join(" " + tag + "." + x for x in re.split(r"[\s_-]+", max(a).lower()) if x)
             stack.append((tag, name))
-        path = "\n".join(x[1] for x in stack)
+            opened[tag] = opened.get(tag, 0) + 1
+            muted += tag in SKIPPED
         if tag in ("p", "li", "div", "td"):
             links = 0
     flush()

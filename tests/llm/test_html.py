@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 
@@ -77,10 +78,30 @@ def test_head_without_end_tag(spark):
 
 
 def test_skipped_elements_end_where_they_end():
-    for odd in ("<svg width=1 />", "<math/>", "<iframe src='x'/>", "<select>", "<button>", "<object data=x>", "<SVG class='a>b'/>", "<svg><title/><path/></svg>", "<canvas><button>"):
-        assert texts(f"<p>a</p>{odd}<p>b</p><{odd[1:4]}x>") == ["a", "b"], odd
-        assert texts(f"<p>a</p>{odd}<p>b</p><button>no</button><object><svg>no</svg></object><select><option>no</select><math>no</math><iframe>no</iframe><p>c") == ["a", "b", "c"], odd
+    for odd in ("<svg width=1 />", "<math/>", "<select>", "<button>", "<object data=x>", "<SVG class='a>b'/>", "<svg><title/><path/></svg>", "<canvas><button>", "<svg><g>", "<template>"):
+        assert texts(f"<div><p>a</p>{odd}</div><p>b</p><{odd[1:4]}x>") == ["a", "b"], odd
+    assert texts("<article><p>a</p><svg/><p>b</p><svg><p>c</p><button><p>d</p></article>") == ["a", "b", "c", "d"]
     assert texts("<p>a</p><title-box>b</title-box><object-view>c</object-view>") == ["a", "b", "c"]
-    assert texts("<p>a<object>no<object>no</object>no</object>b<script>if (a < '<p>') x</script >c<svg><style>no</style>no</svg>d") == ["abcd"]
+    assert texts("<p>a<template>no<template>no</template>no</template>b<script>if (a < '<p>') x</script >c<svg><style>no</style><title>no</title><text>d</text></svg>e") == ["a", "bcde"]
+    assert texts("<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.<noscript><p>b</p></noscript>") == ["So E=m holds.", "b"]
+    assert texts("<select><option>no</select><p>a<iframe><p>no</iframe>b<xmp><p></xmp>") == ["ab<p>"]
     for raw in ("script", "style", "textarea", "title"):
         assert texts(f"<p>a</p><{raw}>no<p>no") == ["a"]
+
+
+def test_stray_quotes_and_brackets():
+    assert texts("<p title=it's>a</p><p title=\"x\"y\">b</p><p class='a>b'>c</p><p/ x = y >d</p><p =x>e") == ["a", "b", "c", "d", "e"]
+    assert texts("a < b <3 c</>d<!-->e<!--->f<!x>g<?y?>h<a href=/x/>i</a>") == ["a < b <3 cdefghi"]
+    assert texts("<p>a<b class=\"x") == ["a"] and texts("<p>a</p x='>'>b") == ["a", "b"]
+
+
+def test_linear_time():
+    for part in ("<a", "<a ", "<a b=", "<a b='", '<a b="', "</", "<!", "<!--", "<p>", "</p>", "<div>x", "<svg>", "</x>", "<a =", "<p a=b/ ", " <", "<title>", "<b><p></i>"):
+        page = part * (1_000_000 // len(part))
+        for html_text in (page, page + ">"):
+            t = time.time()
+            H.blocks_of(html_text)
+            assert time.time() - t < 10, part
+    t = time.time()
+    assert H.blocks_of("<a" * 500_000) == [] and time.time() - t < 1
+    assert len(H.blocks_of("<div>" * 50_000 + "x" + "</div>" * 50_000 + "<p>y")) == 2
