@@ -20,4 +20,5 @@ ORACLE = {
     "op5_decontaminate": decontaminate.SQL,
     "op6_secrets": secrets.SQL,
     "op8_urls": urlgraph.SQL,
+    "op10_spans": spandedup.SQL,
 }

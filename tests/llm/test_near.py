@@ -1,10 +1,12 @@
 """Near-duplicate and span operators against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefmill.llm import minhash, spandedup
@@ -93,19 +95,26 @@ def test_odd_rows(spark, empty):
 
 
 def runs(text):
-    """Sentences of a text as lists of words, from the operator's rule, and its runs as (at, end)."""
-    import pyarrow as pa
-
-    from prefmill.llm.hashing import Words, text_bytes
-
-    w = Words(*text_bytes(pa.array([text or ""])))
-    first, last = spandedup.sentences(w)
-    words, out = split(text), []
-    for i in range(len(first)):
-        for j in range(i + spandedup.RUN - 1, len(first)):
-            if last[j] + 1 - first[i] >= spandedup.MIN_WORDS:
-                out.append((int(first[i]), int(last[j]) + 1))
-                break
+    """Words of a text and the places (at, end) of its runs of sentences, word by word."""
+    words, found, here, n = split(text), [], [], 0
+    pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text or "")
+    for i, p in enumerate(pieces):
+        here.append(i)
+        if "\n" in p or i + 1 == len(pieces) or words[i].rstrip("\"')]}\u00bb\u201d\u2019")[-1:] in tuple(".!?\u2026\u3002\uff01\uff1f"):
+            ends = {i}
+            if len(here) > 40:
+                for k in range(len(here) - 7):
+                    ends.add(min(here[k : k + 8], key=lambda j: (hashlib.md5(words[j].encode()).hexdigest()[:16], -j)))
+            at = here[0]
+            for e in sorted(ends):
+                found.append((at, e + 1))
+                at = e + 1
+            here = []
+    out = []
+    for k in range(len(found)):
+        n = next((m for m in range(k + 2, len(found)) if found[m][1] - found[k][0] >= 12), None)
+        if n is not None:
+            out.append((found[k][0], found[n][1]))
     return words, out
 
 
@@ -133,6 +142,19 @@ def test_spans_odd_rows(spark, empty):
     assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
 
 
+def test_real_sentences_are_not_cut():
+    """Up to 40 words, whatever the words; quotes and brackets may follow the stop."""
+    from prefmill.llm.hashing import Words, text_bytes
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(n))
+    own = [words(40) + ".", words(9) + '!"', words(3) + "?')", words(17) + "\u2026\u201d", words(2) + "\u3002", words(30) + "\n", words(5) + " 3.5 (see)"]
+    w = Words(*text_bytes(pa.array([" ".join(own), words(41)])))
+    first, last = spandedup.sentences(w)
+    n = [len(x.split()) for x in own]
+    assert (last - first + 1)[: len(n)].tolist() == n and len(first) > len(n) + 1
+
+
 def test_passage_inside_sentences(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
