@@ -135,7 +135,7 @@ def test_link_graph_long_chain(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")], "src string, dst string")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 1.0)], "host string, seed_trust double, seed_distrust double")
     out = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(seeds, edges).collect()}
-    # Solved by hand: the scores are 0.15 of the seeds and 0.85 of what the links bring.
+    # Solved by hand: the scores are 0.15 of the seeds and 0.85 of what the links bring. Every host has links, so they sum to 1.
     d = 0.85
     a = 0.15 / (1 - d * d * (1 + d) / 2)
     assert out["a"][0] == pytest.approx(a, abs=1e-11) and out["b"][0] == pytest.approx(d * a, abs=1e-11) and out["c"][0] == pytest.approx(d * d * a / 2, abs=1e-11)
@@ -145,6 +145,38 @@ def test_link_graph_long_chain(spark):
     assert out["c"][1] == pytest.approx(c, abs=1e-11) and out["b"][1] == pytest.approx(b, abs=1e-11) and out["a"][1] == pytest.approx(d * b, abs=1e-11)
 
 
+def test_random_link_graph(spark, tmp_path):
+    """Scores against a dense solution, with hosts without links and a chain of 14, and verdicts against SQL."""
+    import numpy as np
+
+    rng = random.Random(2)
+    n = 150
+    edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(260)} | {(i, i + 1) for i in range(20, 34)}
+    edges = sorted((a, b) for a, b in edges if a != b and a % 9)  # every ninth has no links of its own
+    seeds = [(f"h{i:03d}", float(i % 5 == 0), 0.5 * (i % 7 == 0)) for i in range(n)]
+
+    def solved(links, seed):
+        m, v = np.zeros((n, n)), np.array(seed) / sum(seed)
+        for a, b in links:
+            m[b, a] = 1
+        out = m.sum(0)
+        m = np.where(out > 0, m / np.maximum(out, 1), v[:, None])  # without links back to the seeds
+        return np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * v)
+
+    want = zip(solved(edges, [x[1] for x in seeds]), solved([(b, a) for a, b in edges], [x[2] for x in seeds]), strict=True)
+    df = spark.createDataFrame([(f"h{a:03d}", f"h{b:03d}") for a, b in edges], "src string, dst string")
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(spark.createDataFrame(seeds, "host string, seed_trust double, seed_distrust double"), df, tolerance=1e-7).collect()}
+    for (h, _, _), w in zip(seeds, want, strict=True):
+        assert got[h] == pytest.approx(w, abs=1e-6)
+    path = lambda i: "/fr/" if i % 5 == 0 else "/de/" if i % 7 == 0 else "/x"
+    rows = [(i, f"http://h{i:03d}.com{path(i)}", " ".join(f'<a data-href="http://no.com/" href={q}{rng.choice(["http:", "", "HTTPS:"])}//h{b:03d}.com/{q}>' for a, b in edges if a == i for q in [rng.choice(['"', "'", ""])])) for i in range(n)]
+    written(spark.createDataFrame(rows, "page_id long, url string, html string"), tmp_path, "pages")
+    df = QUERIES["op8_urls"](spark, str(tmp_path))
+    assert differences(df, ORACLE["op8_urls"], str(tmp_path)) == ""
+    said = [r.verdict for r in df.filter("rule IS NULL").collect()]
+    assert 10 < said.count("block") < len(said) - 10
+
+
 def test_pipeline(spark):
     """Each stage on its own input: columns, whole results, and brute force where one exists."""
     import corpus_pipeline as C
