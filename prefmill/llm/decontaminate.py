@@ -8,7 +8,7 @@ by word, and covered words are counted.
 Defined cases: null and empty texts have no words, items without words have
 no window; equal rows get equal results; item_id may be null (its windows
 count, its id does not); an empty benchmark hits nothing. Documents longer than
-any limit are scanned whole. Other columns pass through.
+any limit are scanned whole. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let, table, text_key
+from .common import cut_lineage, let, shielded, table, text_key
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOKEN_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
-#: Windows of the test set up to which it is broadcast (about 200 bytes each).
-BROADCAST_WINDOWS = 1_000_000
+#: Bytes of the windows of the test set, with the ids of their items, up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -44,7 +44,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """For each (doc_id, _key) with a hit: _spans, the sorted hit (start, width), and _items, the ids of the items hit."""
     grams = cut_lineage(test_windows(benchmark, n))
     sizes = [r[0] for r in grams.select("width").distinct().collect()]  # at most n values
-    few = grams.count() <= BROADCAST_WINDOWS
+    told = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    few = (grams.agg(F.sum(told + 64)).first()[0] or 0) <= BROADCAST_BYTES
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_key"), tokens(F.col("text")).alias("w"))
     rows = rows.select("doc_id", "_key", "w", F.posexplode("w").alias("at", "_word"))
     gram = lambda k: F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.lit(k)))
@@ -84,15 +85,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     return out.select("d.doc_id", "n_words", F.coalesce(covered(F.col("_spans")), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", none).alias("_items"))
 
 
+def merged(spans: Column) -> Column:
+    """The union of sorted (at, width) spans as disjoint (start, end) in order."""
+
+    def add(a: Column, s: Column) -> Column:
+        one = F.struct(s["at"].alias("start"), (s["at"] + s["width"]).alias("end"))
+        last = F.element_at(a, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], one["end"]).alias("end"))
+        return F.when(F.size(a) == 0, F.array(one)).when(last["end"] < one["start"], F.concat(a, F.array(one))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
+def without_words(words: Column, gaps: Column, runs: Column) -> Column:
+    """The text of gaps and words without the words of the runs, each place looked at once."""
+
+    def joined(low: Column, high: Column, each) -> Column:
+        return F.when(low < high, F.array_join(F.transform(F.sequence(low, high - 1), each), "")).otherwise("")
+
+    both, gap = (lambda i: F.concat(F.get(gaps, i), F.get(words, i))), (lambda i: F.get(gaps, i))
+    before = lambda i: F.coalesce(F.get(runs, i - 1)["end"], F.lit(0))
+    parts = F.transform(runs, lambda r, i: F.concat(joined(before(i), r["start"], both), joined(r["start"], r["end"], gap)))
+    return F.concat(F.array_join(parts, ""), joined(before(F.size(runs)), F.size(words), both), F.element_at(gaps, -1))
+
+
+@shielded
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool = False) -> DataFrame:
     """Without the documents that hold a test window, or, with ``spans``, without the hit words only; columns as before."""
     h = hits(docs, benchmark, n).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.col("_spans").alias("_hit_spans"))
+    # As a table, whose bytes decide whether it is broadcast: then no text is shuffled.
+    h = cut_lineage(h if spans else h.drop("_hit_spans"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_k"))
     if not spans:
         return docs.join(h, same, "left_anti")
     own, gaps = F.array_remove(F.split("text", GAP_ANY_CASE), ""), F.split("text", TOKEN_ANY_CASE)
-    inside = lambda i: F.exists("_hit_spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["width"]))
-    rest = let(own, lambda w: let(gaps, lambda g: F.concat(F.array_join(F.transform(w, lambda x, i: F.concat(F.get(g, i), F.when(inside(i), "").otherwise(x))), ""), F.element_at(g, -1))))
+    rest = let(own, lambda w: let(gaps, lambda g: let(merged(F.col("_hit_spans")), lambda r: without_words(w, g, r))))
     return docs.join(h, same, "left").withColumn("text", F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
 
 

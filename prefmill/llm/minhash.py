@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, salted_join, small_batches, table, text_key
+from .common import cut_lineage, salted_join, shielded, small_batches, table, text_key
 from .hashing import Q, Spans, Words, blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -156,7 +156,7 @@ def agreement(a: Column, b: Column) -> Column:
 
 def bags_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, bag) of nodes, from one join with the texts."""
-    at = ids.join(reps.select("id", "doc_id", "_key"), "id").select("id", F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))
+    at = cut_lineage(ids.join(reps.select("id", "doc_id", "_key"), "id").select("id", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")))
     d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
     d = d.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("id", "text")
     return cut_lineage(d.mapInArrow(multiset_rows, "id long, bag array<long>").dropDuplicates(["id"]))
@@ -220,17 +220,18 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of each node's component, for the nodes of edges."""
+    """(id, root): the smallest id of each node's component, for the nodes of edges. A centre of many links, and a root of many nodes, is dealt over tasks."""
     both = cut_lineage(edges.union(edges.select("b", "a")).distinct().toDF("a", "b"))
-    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("id"), F.least("a", "l").alias("root")))
+    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("l"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.least("a", "l").alias("root"), "n"))
     while True:
-        seen = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "id")
-        new = label.join(seen, "id").select("id", "root", F.least("root", "m").alias("low"))
-        new = new.join(label.select(F.col("id").alias("low"), F.col("root").alias("jump")), "low").select("id", "root", F.least("low", "jump").alias("low"))
-        new = cut_lineage(new)
+        told = salted_join(both, label.withColumnRenamed("id", "b"), "b", "n")
+        seen = told.groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "id")
+        new = cut_lineage(label.join(seen, "id").select("id", "root", "n", F.least("root", "m").alias("low")))
+        lows = new.groupBy("low").agg(F.count("*").alias("n_low")).join(label.select(F.col("id").alias("low"), F.col("root").alias("jump")), "low")
+        new = cut_lineage(salted_join(new, cut_lineage(lows), "low", "n_low").select("id", "root", "n", F.least("low", "jump").alias("low")))
         if new.filter("low <> root").isEmpty():
-            return label
-        label = new.select("id", F.col("low").alias("root"))
+            return label.select("id", "root")
+        label = new.select("id", F.col("low").alias("root"), "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -249,21 +250,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         seed += 1
     signed = signed.withColumn("id", id_)
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_key")
-    best = signed.filter("id IS NOT NULL").groupBy("id").agg(F.min(place).alias("p")).select(F.col("id").alias("_n"), F.col("p.doc_id").alias("_i"), F.col("p._key").alias("_k"))
-    reps = signed.join(best, (F.col("id") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
+    best = signed.filter("id IS NOT NULL").groupBy("id").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+    best = cut_lineage(best.select("id", F.col("p.doc_id").alias("_i"), F.col("p._key").alias("_k"), "n"))
+    reps = salted_join(signed.select("id", "doc_id", "_key", "bands", "sketch"), best, "id", "n").filter(F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
     reps = cut_lineage(reps.select("id", "doc_id", "_key", "bands", "sketch").dropDuplicates(["id"]))
     edges = links(reps, docs)
     roots = None if edges is None else components(edges)
     rows = signed.select("doc_id", "_key", "id")
-    rows = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = rows.withColumn("root", F.col("id")) if roots is None else salted_join(rows, cut_lineage(roots.join(best.select("id", "n"), "id")), "id", "n", "left").drop("n").withColumn("root", F.coalesce("root", "id"))
     rows = cut_lineage(rows.withColumn("root", F.struct(F.col("root"), F.when(F.col("root").isNull(), F.struct(F.col("doc_id"), F.col("_key"))))))
-    size = rows.groupBy("root").agg(F.count("*").alias("class_size"), F.min(place).alias("p"))
+    size = cut_lineage(rows.groupBy("root").agg(F.count("*").alias("class_size"), F.min(place).alias("p")))
     same = rows.groupBy("root", "doc_id", "_key").agg(F.count("*").alias("same"))
-    out = same.join(size, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("_key") == F.col("p._key")))
+    out = salted_join(same, size, "root", "class_size").withColumn("first", F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("_key") == F.col("p._key")))
     out = out.select("doc_id", "_key", F.col("p.doc_id").alias("class_id"), F.when(F.col("root.root").isNull(), F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"), "same", (F.col("first") | F.col("root.root").isNull()).alias("first"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "same"))).select("doc_id", "_key", "class_id", "class_size", "same", "first", "copy")
 
 
+@shielded
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, with its own columns."""
     told = cut_lineage(near_duplicates(docs).filter("copy = 1 AND (NOT first OR (same > 1 AND class_size > 1))").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "first"))

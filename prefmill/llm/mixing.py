@@ -1,15 +1,16 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key. The keys of a source are cut into equal
-ranges, word counts are summed by range, and a prefix sum over the ranges finds
-the one that holds the source's budget. Only that range is sorted to find the
+ranges, word counts are summed by range, by groups of ranges, and so on, 2 ** FAN_BITS to one; a prefix sum
+over the topmost groups finds the one that holds the source's budget, one over the ranges of that group the
+range, so no task sees over that many sums of a source. Only that range is sorted to find the
 exact cut. No text is shuffled: the cut goes back to the scan as a few columns
 for each source.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ordered last; a null doc_id is an id like any other; rows that agree in doc_id
 and text share a key and, at the cut, share the words that are left evenly
-(rounded down). An empty table gives an empty mix. Other columns pass through;
+(rounded down). An empty table gives an empty mix. Other columns pass through, whatever their names;
 those named like an added one are replaced.
 """
 
@@ -21,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, table
+from .common import WORD, cut_lineage, shielded, table
 
 KEY_BITS = 60
+#: Groups (a power of 2) that a prefix sum of one source runs over.
+FAN_BITS = 6
 #: Bytes of the cuts (one row for each source) up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -69,10 +72,14 @@ def cuts(sized: DataFrame, ratio: float, weights: tuple[int, ...], most: int, ro
     budget = F.floor("target")
     t = t.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     t = cut_lineage(t.withColumn("_left", budget - F.col("_epochs") * F.col("source_size")))
-    end = F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, 0))
-    at = sums.withColumn("_end", end).alias("r").join(t.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    at = at.filter((F.col("_end") - F.col("_sum") <= F.col("_left")) & (F.col("_left") < F.col("_end")))
-    at = at.select(F.col("r.source").alias("_src"), F.col("_range").alias("_cut_range"), (F.col("_left") - F.col("_end") + F.col("_sum")).alias("_need"))
+    at = t.select(F.col("source").alias("_src"), F.lit(0).cast("long").alias("_cut_range"), F.col("_left").alias("_need"))
+    for shift in reversed(range(0, bits, FAN_BITS)):
+        # The groups of one size that are in the group found so far; the first level has all that there are.
+        low = sums.groupBy("source", F.shiftright("_range", shift).alias("_group")).agg(F.sum("_sum").alias("_sum"))
+        inside = F.col("source").eqNullSafe(F.col("_src")) & (F.shiftright("_group", FAN_BITS) == F.col("_cut_range"))
+        end = F.sum("_sum").over(W.partitionBy("_src").orderBy("_group").rowsBetween(W.unboundedPreceding, 0))
+        at = low.join(at, inside).withColumn("_end", end).filter((F.col("_end") - F.col("_sum") <= F.col("_need")) & (F.col("_need") < F.col("_end")))
+        at = cut_lineage(at.select("_src", F.col("_group").alias("_cut_range"), (F.col("_need") - F.col("_end") + F.col("_sum")).alias("_need")))
     near = sized.join(at, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_range") == F.col("_cut_range")))
     near = near.groupBy("_src", "_need", "_key").agg(F.sum("size").alias("_size"), F.count("*").alias("_rows"))
     end = F.sum("_size").over(W.partitionBy("_src").orderBy("_key").rowsBetween(W.unboundedPreceding, 0))
@@ -81,6 +88,7 @@ def cuts(sized: DataFrame, ratio: float, weights: tuple[int, ...], most: int, ro
     return t.join(near, F.col("source").eqNullSafe(F.col("_src")), "left").select(F.col("source").alias("_source"), "source_size", "target", "_epochs", "_cut", "_part")
 
 
+@shielded
 def mix_sources(docs: DataFrame, sized: DataFrame | None = None, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2, rows_per_range: int = 4096) -> DataFrame:
     """Adds size, source_size, target and taken, the number of the document's words that the mix holds.
 
@@ -88,7 +96,7 @@ def mix_sources(docs: DataFrame, sized: DataFrame | None = None, ratio: float =
     the sources in order of their names. ``most``: epochs of a source at most. ``sized``:
     the rows of docs with size and _key, without text, if they have been computed.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "_key")
+    docs = docs.drop("size", "source_size", "target", "taken")
     if sized is None:
         docs = docs.withColumn("size", size_of(F.col("text"))).withColumn("_key", key_of(F.col("doc_id"), F.col("text")))
         sized = cut_lineage(docs.select("source", "size", "_key"))

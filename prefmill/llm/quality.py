@@ -3,17 +3,18 @@
 Fixed base rules reject short and repetitive texts. Beside them, each statistic
 gets a cutoff for each stratum (language): on labelled documents a cutoff may
 be used only if an exact binomial test shows that it rejects at most ``alpha``
-/ number of statistics of the good documents of the stratum. The tests of all
-strata, statistics and grid points share ``delta`` (Bonferroni), so with
-probability 1 - delta no stratum loses more than ``alpha`` of its good documents. Of
+/ number of statistics of the good documents of the stratum. The cutoffs of one stratum and statistic are
+tested in a fixed order, from the loosest on, up to the first that fails, which needs no correction among
+them (a tighter cutoff rejects more, so its test is the weaker one); the sequences of all strata and statistics
+share ``delta`` (Bonferroni). So with probability 1 - delta no stratum loses more than ``alpha`` of its good documents. Of
 the cutoffs that pass, the one that parts bad from good documents best is
 taken, and none where none helps.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null
 language is a stratum of its own; strata without labels have no cutoff; a
 document labelled more than once counts once, as good if any label says so; null labels
-count for nothing. Equal rows get equal results. Other columns pass through, and those named
-like an added one are replaced.
+count for nothing; of the rows that share a labelled doc_id the least counts (by language, then by its counts). Equal rows get equal
+results. Other columns pass through, whatever their names, and those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let, table, words
+from .common import cut_lineage, let, shielded, table, text_key, words
 
 ALPHA, DELTA = 0.02, 0.05
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -101,7 +102,8 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(lang, counts) with labels by doc_id -> for each lang a map from statistic to cutoff. A row for each language."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_good"))
-    held = stats.filter(~F.col("base_failed")).select("doc_id", "lang", *COUNTS).dropDuplicates(["doc_id"]).join(known, "doc_id")
+    held = stats.filter(~F.col("base_failed")).join(known, "doc_id")
+    held = held.groupBy("doc_id").agg(F.min(F.struct(F.col("lang").isNull().alias("none"), "lang", *COUNTS)).alias("r"), F.first("_good").alias("_good")).select("doc_id", "r.*", "_good")
     value = lambda a, b, step: F.least(F.lit(GRID), F.ceil(F.col(a) / F.greatest(F.col(b), F.lit(1)) / step - 1e-9)).cast("int")
     cells = held.select("lang", "_good", F.explode(F.create_map(*[x for s, v in STATS.items() for x in (F.lit(s), value(*v))])).alias("stat", "cell"))
     cells = cells.groupBy("lang", "stat", "cell").agg(F.sum(F.when(F.col("_good") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_good") > 0, 0).otherwise(1)).alias("bad"))
@@ -109,10 +111,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     whole = W.partitionBy("lang", "stat")
     above = whole.orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumns({"k": F.coalesce(F.sum("good").over(above), F.lit(0)), "hit": F.coalesce(F.sum("bad").over(above), F.lit(0)), "n": F.sum("good").over(whole), "n_bad": F.sum("bad").over(whole)})
-    tests = F.size(F.collect_set(F.struct("lang")).over(W.partitionBy())) * len(STATS) * GRID
-    cells = cells.withColumn("p", binomial_cdf(F.col("k"), F.col("n"), alpha / len(STATS))).withColumn("tests", tests)
+    cells = cut_lineage(cells.withColumn("p", binomial_cdf(F.col("k"), F.col("n"), alpha / len(STATS))))
+    tests = cells.select("lang").distinct().count() * len(STATS)
     gain = F.col("hit") / F.greatest(F.col("n_bad"), F.lit(1)) - PRICE * F.col("k") / F.greatest(F.col("n"), F.lit(1))
-    best = cells.filter((F.col("p") <= delta / F.col("tests")) & (F.col("hit") > 0)).withColumn("gain", gain).filter("gain > 0")
+    best = cells.filter((F.col("p") <= delta / max(1, tests)) & (F.col("hit") > 0)).withColumn("gain", gain).filter("gain > 0")
     best = best.groupBy("lang", "stat").agg(F.max(F.struct(F.round("gain", 9).alias("g"), "cell"))["cell"].alias("cell"))
     return best.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("stat", "cell"))).alias("_cut")).withColumnRenamed("lang", "_lang")
 
@@ -126,11 +128,18 @@ def judged(stats: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).drop("_lang", "_cut")
 
 
+@shielded
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns. The cutoffs are fitted on the labelled documents only."""
-    ids = labels.select("doc_id").distinct()
-    cuts = cut_lineage(cutoffs(measured(docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")).drop("text"), labels))
-    return judged(measured(docs), cuts).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, with their own columns. The cutoffs are fitted on the labelled documents only.
+
+    Texts are measured once, into a table of counts; what is rejected leaves by its key, in an anti-join that needs no shuffle while the keys are few.
+    """
+    counts = docs.select("doc_id", "lang", "text").withColumn("_key", text_key(F.col("text")))
+    stats = cut_lineage(measured(counts).drop("text"))
+    gone = judged(stats, cut_lineage(cutoffs(stats, labels))).filter("NOT kept")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_in"), F.col("_key").alias("_k")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_in")) & (text_key(F.col("text")) == F.col("_k"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
@@ -144,7 +153,7 @@ def _sql() -> str:
     cells = " UNION ALL ".join(
         f"SELECT r, doc_id, lang, base_failed, '{s}' AS stat, CAST(ceil(CAST({a} AS DOUBLE) / greatest({b}, 1) / {step!r}::DOUBLE - 1e-9::DOUBLE) AS BIGINT) AS v FROM m" for s, (a, b, step) in STATS.items()
     )
-    cut = f"{DELTA / 1!r} / (nl * {len(STATS) * GRID})"
+    cut = f"{DELTA!r}::DOUBLE / (nl * {len(STATS)})"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT r, i, hash(w[i], w[i + 1], w[i + 2]) AS h, w[i:i + 2] AS x FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 3)),
@@ -157,7 +166,8 @@ m0 AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM m0),
 v AS ({cells}),
 k AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-c AS (SELECT lang, stat, least(v, {GRID}) AS cell, sum(CASE WHEN good > 0 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN good > 0 THEN 0 ELSE 1 END) AS bad FROM v JOIN k USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+h AS (SELECT r FROM m JOIN k USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lang NULLS LAST, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) = 1),
+c AS (SELECT lang, stat, least(v, {GRID}) AS cell, sum(CASE WHEN good > 0 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN good > 0 THEN 0 ELSE 1 END) AS bad FROM v JOIN h USING (r) JOIN k USING (doc_id) GROUP BY ALL),
 n AS (SELECT lang, stat, cell, CAST(coalesce(sum(good) OVER a, 0) AS BIGINT) AS k, CAST(coalesce(sum(bad) OVER a, 0) AS BIGINT) AS hit, CAST(sum(good) OVER p AS BIGINT) AS n, CAST(sum(bad) OVER p AS BIGINT) AS n_bad,
   (SELECT count(*) FROM (SELECT DISTINCT lang FROM c)) AS nl FROM c
   WINDOW p AS (PARTITION BY lang, stat), a AS (PARTITION BY lang, stat ORDER BY cell DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

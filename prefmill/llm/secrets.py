@@ -18,7 +18,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, text_key
+from .common import cut_lineage, let, table, text_key
 
 #: kind -> (expression, characters that a match, or its group 2, needs, whether group 2 counts). Base kinds in their order, then the added ones.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,13 +26,26 @@ RULES = {
     "assign": (ASSIGN, 8, True),
     "access": (r"AKIA[A-Z0-9]+", 16, False),
     "hex": (r"[0-9a-f]{32,}", 32, False),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, False),
+    # The key itself up to its end line (six lone hyphens may be in its headers), or what can be its body where the end line is missing.
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,6}-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x09-\x0D]*)", 1, False),
     "github": (r"gh[oprsu]_[A-Za-z0-9]{36,}", 1, False),
+    "github_pat": (r"github_pat_[A-Za-z0-9_]{36,}", 1, False),
+    "gitlab": (r"glpat-[A-Za-z0-9_-]{20,}", 1, False),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, False),
+    "webhook": (r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,}", 1, False),
     "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, False),
+    "bearer": (r"[bB]earer [A-Za-z0-9._~+/-]{20,}", 1, False),
+    "google": (r"AIza[A-Za-z0-9_-]{35}", 1, False),
+    "stripe": (r"[rs]k_(live|test)_[A-Za-z0-9]{16,}", 1, False),
+    "sendgrid": (r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", 1, False),
+    "npm": (r"npm_[A-Za-z0-9]{36}", 1, False),
+    "azure": (r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}", 1, False),
+    "url": (r"://[^/?#@:\x20\x09-\x0D]{1,64}:[^/?#@\x20\x09-\x0D]{1,128}@", 1, False),
 }
 BASE = ("assign", "access", "hex")
 MOST_STRINGS = 64
+#: Trigrams of one alternative that the index holds, spread over it; a text without one of them has no match.
+MOST_TRIGRAMS = 3
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -102,6 +115,12 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return both(q, of(e) if e is not None else None)
 
 
+def fewer(query: list[frozenset[str]], most: int = MOST_TRIGRAMS) -> list[frozenset[str]]:
+    """A weaker query of at most ``most`` trigrams an alternative; any text that satisfies the query satisfies it."""
+    spread = lambda x: [x[i * (len(x) - 1) // max(1, min(most, len(x)) - 1)] for i in range(min(most, len(x)))]
+    return list(dict.fromkeys(frozenset(spread(sorted(a))) for a in query))
+
+
 def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """The inverted index, a row for each trigram of the vocabulary and document that has it."""
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -152,9 +171,10 @@ def spans(text: Column, order: int, kind: str, pattern: str, least: int, group:
 def scan_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, bool]] | None = None) -> DataFrame:
     """doc_id and found, an array of (start, order, kind, end) sorted by start and then order; code points, end exclusive."""
     rules = rules or RULES
-    queries = {k: q for k, (p, _, _) in rules.items() if (q := trigram_query(p)) is not None}
+    queries = {k: fewer(q) for k, (p, _, _) in rules.items() if (q := trigram_query(p)) is not None}
     d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.coalesce("text", F.lit("")).alias("text")).alias("d")
-    c = candidates(docs, queries).alias("c")
+    # As a table, whose bytes decide whether it is broadcast: then no text is shuffled.
+    c = cut_lineage(candidates(docs, queries)).alias("c")
     d = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._key") == F.col("c._key")), "left").select("d.doc_id", "text", "_rules")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     found = []

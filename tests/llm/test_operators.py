@@ -95,6 +95,51 @@ def test_cutoffs_control_risk(spark):
     assert kept.filter("lang = 'en' AND doc_id % 4 = 0 AND kept").count() < 50 and kept.filter("lang = 'xx' AND NOT kept").count() == 0
 
 
+def test_cutoffs_that_bind(spark, tmp_path):
+    """Enough labels for two languages of three: Spark and SQL reject the same, ids with two texts included."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(4000):
+        lang, good = ("en", "de", None, "fr")[min(i % 9, 3) if i % 9 < 4 else i % 2], rng.random() < 0.8
+        signs = rng.randrange(3) if good and rng.random() > 0.001 else rng.randrange(5, 30)
+        size = 5 if good or rng.random() < 0.5 else 12
+        words = ["".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(60)]
+        rows.append((i // 2 * 2 if i % 500 == 1 else i, " ".join(words[:30]) + "#" * signs + "\n" + " ".join(words[30:]), lang))
+        labels.append((i, int(good), 0))
+    written(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tmp_path, "documents")
+    written(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    out = QUERIES["op2_quality"](spark, str(tmp_path))
+    assert differences(out, ORACLE["op2_quality"], str(tmp_path)) == ""
+    failed = [(r.failed_rules, dict(enumerate(labels)).get(r.doc_id, (0, 1))[1]) for r in out.filter("failed_rules <> ''").collect()]
+    assert len(failed) > 300 and {x for f, _ in failed for x in f.split(",")} >= {"symbols"}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = quality.filter_quality(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert kept.columns == docs.columns and kept.count() == out.filter("kept").count()
+
+
+NAMES = ["_id", "_k", "_key", "_source", "_lang", "_cut", "_gone", "_spans", "_hit_spans", "_new", "_m", "_salt", "_hot", "_in", "own_id", "_ID2", "id", "key", "n", "f", "root", "host", "size2"]
+
+
+@pytest.mark.parametrize("name", ["lines", "spans", "near", "items", "item_spans", "mix", "quality"])
+def test_clashing_columns(spark, name):
+    """Columns called as the operators' own pass through."""
+    from prefmill.llm import linededup, minhash, spandedup
+
+    texts = ["one line that is here more than once\nanother", "one line that is here more than once", "w " * 60, "a b c d e f g h", "A b c d e f g h i"]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    odd = df.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in NAMES})
+    items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    run = {
+        "lines": linededup.dedup_lines, "spans": spandedup.dedup_spans, "near": minhash.drop_near_duplicates, "items": lambda d: decontaminate.remove_contaminated(d, items),
+        "item_spans": lambda d: decontaminate.remove_contaminated(d, items, spans=True), "mix": mixing.mix_sources, "quality": lambda d: quality.filter_quality(d, marks),
+    }[name]
+    plain, out = run(df), run(odd)
+    assert set(odd.columns) <= set(out.columns) and set(plain.columns) <= set(out.columns)
+    assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in NAMES)
+
+
 def test_decontaminated_spans(spark):
     b = spark.createDataFrame([(1, "Alpha beta gamma, delta")], "item_id long, text string")
     d = spark.createDataFrame([(1, "So: ALPHA; beta -- gamma delta! Yes", "z"), (2, "alpha beta gamma", "z")], "doc_id long, text string, w string")
@@ -106,13 +151,17 @@ def test_decontaminated_spans(spark):
 def test_trigram_queries_are_mandatory():
     """A text that matches a rule satisfies its query."""
     made = {
-        "assign": ["api_key: abcdefgh", "APIKEY=abcdefgh1", "Passwd='x12345678", "sEcReT : aaaaaaaa"], "access": ["AKIA" + "A" * 12], "pem": ["-----BEGIN RSA PRIVATE KEY-----"],
-        "github": ["ghr_" + "a" * 36], "slack": ["xoxb-1234567890"], "jwt": ["eyJabcdefghij.eyJabcdefghij.abcdefghij"],
+        "assign": ["api_key: abcdefgh", "APIKEY=abcdefgh1", "Passwd='x12345678", "sEcReT : aaaaaaaa"], "access": ["AKIA" + "A" * 12], "pem": ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\nDEK: A-1\n\nabc=\n-----END PRIVATE KEY-----"],
+        "github": ["ghr_" + "a" * 36], "slack": ["xoxb-1234567890"], "jwt": ["eyJabcdefghij.eyJabcdefghij.abcdefghij"], "github_pat": ["github_pat_" + "a" * 36], "gitlab": ["glpat-" + "a" * 20], "webhook": ["hooks.slack.com/services/" + "T" * 20],
+        "bearer": ["Bearer " + "a" * 20], "google": ["AIza" + "a" * 35], "stripe": ["sk_live_" + "1" * 16, "rk_test_" + "1" * 16], "sendgrid": ["SG." + "a" * 16 + "." + "b" * 16], "npm": ["npm_" + "a" * 36],
+        "azure": ["AccountKey=" + "a" * 40], "url": ["://user:word@"],
     }
     for kind, texts in made.items():
         q = secrets.trigram_query(secrets.RULES[kind][0])
         for t in texts:
             assert re.search(secrets.RULES[kind][0], t) and any(all(g in t.lower() for g in a) for a in q), (kind, t)
+            assert re.search(secrets.RULES[kind][0], t)[0] == t and any(all(g in t.lower() for g in a) for a in secrets.fewer(q)), (kind, t)
+    assert set(made) == set(secrets.RULES) - {"hex"}
     assert secrets.trigram_query("[0-9a-f]{32,}") is None and secrets.trigram_query("(abc)?") is None
     assert set(secrets.trigram_query("abcd|xyz")) == {frozenset({"abc", "bcd"}), frozenset({"xyz"})}
 
@@ -134,15 +183,15 @@ def test_link_graph_long_chain(spark):
     assert got == {i: "allow" if i == 15 else "block" for i in range(16)}
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")], "src string, dst string")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 1.0)], "host string, seed_trust double, seed_distrust double")
-    out = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(seeds, edges).collect()}
+    out = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(seeds, edges, tolerance=1e-8).collect()}
     # Solved by hand: the scores are 0.15 of the seeds and 0.85 of what the links bring. Every host has links, so they sum to 1.
     d = 0.85
     a = 0.15 / (1 - d * d * (1 + d) / 2)
-    assert out["a"][0] == pytest.approx(a, abs=1e-11) and out["b"][0] == pytest.approx(d * a, abs=1e-11) and out["c"][0] == pytest.approx(d * d * a / 2, abs=1e-11)
+    assert out["a"][0] == pytest.approx(a, abs=1e-7) and out["b"][0] == pytest.approx(d * a, abs=1e-7) and out["c"][0] == pytest.approx(d * d * a / 2, abs=1e-7)
     # Against the links: c gets from a's half, b from c's whole and a's half, a from b's whole.
     c = 0.15 / (1 - d / 2 * d * d / (1 - d * d / 2))
     b = d * c / (1 - d * d / 2)
-    assert out["c"][1] == pytest.approx(c, abs=1e-11) and out["b"][1] == pytest.approx(b, abs=1e-11) and out["a"][1] == pytest.approx(d * b, abs=1e-11)
+    assert out["c"][1] == pytest.approx(c, abs=1e-7) and out["b"][1] == pytest.approx(b, abs=1e-7) and out["a"][1] == pytest.approx(d * b, abs=1e-7)
 
 
 def test_random_link_graph(spark, tmp_path):
@@ -165,9 +214,9 @@ def test_random_link_graph(spark, tmp_path):
 
     want = zip(solved(edges, [x[1] for x in seeds]), solved([(b, a) for a, b in edges], [x[2] for x in seeds]), strict=True)
     df = spark.createDataFrame([(f"h{a:03d}", f"h{b:03d}") for a, b in edges], "src string, dst string")
-    got = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(spark.createDataFrame(seeds, "host string, seed_trust double, seed_distrust double"), df, tolerance=1e-7).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(spark.createDataFrame(seeds, "host string, seed_trust double, seed_distrust double"), df, tolerance=1e-6).collect()}
     for (h, _, _), w in zip(seeds, want, strict=True):
-        assert got[h] == pytest.approx(w, abs=1e-6)
+        assert got[h] == pytest.approx(w, abs=1e-5)
     path = lambda i: "/fr/" if i % 5 == 0 else "/de/" if i % 7 == 0 else "/x"
     rows = [(i, f"http://h{i:03d}.com{path(i)}", " ".join(f'<a data-href="http://no.com/" href={q}{rng.choice(["http:", "", "HTTPS:"])}//h{b:03d}.com/{q}>' for a, b in edges if a == i for q in [rng.choice(['"', "'", ""])])) for i in range(n)]
     written(spark.createDataFrame(rows, "page_id long, url string, html string"), tmp_path, "pages")
