@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmill.llm import decontaminate, linededup, minhash, mixing, quality
-from prefmill.llm.common import shared_folder, table
+from prefmill.llm.common import remove_at_exit, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again by the next."""
+    """Each stage's result is written to the shared folder and read again by the next. The folder goes when the session's JVM ends, the stages' own tables too."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
