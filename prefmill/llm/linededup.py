@@ -27,6 +27,7 @@ replace columns of these names.
 
 from __future__ import annotations
 
+import functools
 import os.path
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -197,15 +198,17 @@ def verify_rows(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.Reco
 
 
 def verified(pairs: DataFrame, long: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) of different lines within tau edits."""
-    text = long.select("id", "line")
-    met = pairs.filter("a <> b").join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+    """The pairs (a, b) of different lines within tau edits. Only lines that are in a pair go to them: their ids are broadcast where their bytes are few."""
+    pairs = cut_lineage(pairs.filter("a <> b").distinct())
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    text = cut_lineage(long.select("id", "line").join(ids, "id", "left_semi"))
+    met = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
     return cut_lineage(met.select("a", "b", "x", "y").mapInArrow(lambda b: verify_rows(b, tau), f"a {ID}, b {ID}"))
 
 
 def hot_pairs(rows: DataFrame, long: DataFrame, tau: int, hot: int) -> list[DataFrame]:
     """Near pairs (a, b), one table a level, of the rows (key, id, code) of hot keys. Every line with an earlier neighbour there is an a with an earlier b."""
-    told = long.select("id", "line", "f")
+    told = cut_lineage(long.join(cut_lineage(rows.select("id").distinct()), "id").select("id", "line", "f"))
     out: list[DataFrame] = []
     rows = rows.join(told.select("id", "line"), "id")
     kind = f"key long, id {ID}, probe boolean, regions {REGIONS}"
@@ -217,12 +220,12 @@ def hot_pairs(rows: DataFrame, long: DataFrame, tau: int, hot: int) -> list[Data
         few = rows.filter(F.col("n") <= hot)
         pairs = few.filter("probe").select("key", F.col("id").alias("a")).join(few.filter("NOT probe").select("key", F.col("id").alias("b")), "key").select("a", "b")
         rows = rows.filter(F.col("n") > hot)
-        near = verified(pairs.union(rows.filter("e.f < f").select(F.col("id").alias("a"), F.col("e.id").alias("b"))).distinct(), long, tau)
+        near = verified(pairs.union(rows.filter("e.f < f").select(F.col("id").alias("a"), F.col("e.id").alias("b"))), told, tau)
         out.append(near)
         # A line is open unless an earlier line has been found near it.
         place = told.select("id", "f")
         both = near.union(near.select("b", "a")).join(place.toDF("a", "fa"), "a").join(place.toDF("b", "fb"), "b").filter("fb < fa")
-        done = both.select(F.col("a").alias("id")).distinct().withColumn("done", F.lit(True))
+        done = cut_lineage(both.select(F.col("a").alias("id")).distinct().withColumn("done", F.lit(True)))
         rows = rows.join(done, "id", "left").filter("regions IS NOT NULL")
         keys = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.expr("done IS NULL AND e.f < f")).alias("open")).filter("open > 0").select("key", "m"))
         rows = cut_lineage(salted_join(rows.select("key", "id", "probe", "regions"), keys, "key", "m").drop("m")).join(told.select("id", "line"), "id")
@@ -230,20 +233,19 @@ def hot_pairs(rows: DataFrame, long: DataFrame, tau: int, hot: int) -> list[Data
 
 
 def earlier_lines(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """(id, line, f) of distinct lines, f the first place -> (id, g): the first place of the lines found within tau edits; the least of them is earlier if any is."""
-    long = distinct.filter(F.length("line") >= max(min_chars, 2 * tau + 1))
+    """(id, line, size, f) of distinct lines, f the first place -> (id, g): the first place of the lines found within tau edits; the least of them is earlier if any is."""
+    long = distinct.filter(F.col("size") >= max(min_chars, 2 * tau + 1))
     rows = long.select("id", "line").mapInArrow(lambda b: segment_rows(b, tau), f"key long, id {ID}, code short")
     met = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("code") > tau).alias("p")).filter("n > 1 AND n > p"))
     rows = cut_lineage(salted_join(rows, met, "key", "n"))
     few = rows.filter(F.col("n") <= hot)
     pairs = few.filter(F.col("code") <= tau).select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b"), "code"), "key")
-    near = [verified(pairs.filter((F.col("code") > tau) | (F.col("a") < F.col("b"))).select("a", "b").distinct(), long, tau)]
-    near += hot_pairs(rows.filter(F.col("n") > hot).select("key", "id", "code"), long, tau, hot)
-    place = long.select("id", "f")
-    out = None
-    for p in near:
-        sides = p.join(place.toDF("b", "f"), "b").select(F.col("a").alias("id"), "f").union(p.join(place.toDF("a", "f"), "a").select(F.col("b").alias("id"), "f"))
-        out = sides if out is None else out.union(sides)
+    near = [verified(pairs.filter((F.col("code") > tau) | (F.col("a") < F.col("b"))).select("a", "b"), long, tau)]
+    many = rows.filter(F.col("n") > hot).select("key", "id", "code")
+    near += [] if many.isEmpty() else hot_pairs(many, long, tau, hot)
+    pairs = functools.reduce(DataFrame.union, near)
+    both = cut_lineage(pairs.union(pairs.select("b", "a")).toDF("id", "b").distinct())
+    out = both.join(long.select(F.col("id").alias("b"), "f"), "b")
     return out.groupBy("id").agg(F.min("f").alias("g"))
 
 
@@ -255,8 +257,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, hot
     small_batches(spark)
     rows = lines_of(docs.select("doc_id", "text")).withColumn("id", line_key(F.col("line")))
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_key", "at")
-    distinct = cut_lineage(rows.groupBy("id").agg(F.min(place).alias("f"), F.first("line").alias("line"), F.count("*").alias("n")))
-    near = cut_lineage(earlier_lines(distinct.select("id", "line", "f"), tau, min_chars, hot))
+    distinct = cut_lineage(rows.groupBy("id").agg(F.min(place).alias("f"), F.first("line").alias("line"), F.count("*").alias("n")).withColumn("size", F.length("line")))
+    near = cut_lineage(earlier_lines(distinct.select("id", "line", "size", "f"), tau, min_chars, hot))
     # Lines that occur once and have no earlier neighbour stay; only the others go back to their rows.
     known = distinct.select("id", "f", "n").join(near, "id", "left").filter("n > 1 OR g < f")
     known = cut_lineage(known.select("id", "n", "f", F.coalesce(F.col("g") < F.col("f"), F.lit(False)).alias("all")))
