@@ -92,19 +92,19 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", share: int = 10_000, salts: int = 64) -> DataFrame:
-    """Joins on ``key``, which is unique in ``right`` and held by ``weight`` rows of ``left``.
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner", share: int = 10_000, salts: int = 64) -> DataFrame:
+    """Joins on ``key`` (one column or several), which is unique in ``right`` and held by ``weight`` rows of ``left``.
 
     A key with over 1/``share`` of all left rows is hot; there are fewer than
     ``share`` of them, whatever the input, so the hot list is safe to
     broadcast. Hot keys are spread over ``salts`` tasks. ``right`` has to be
     cheap to read again (a checkpoint).
     """
+    keys = [key] if isinstance(key, str) else key
     total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = right.filter((F.col(weight) > total / share) & (F.col(weight) > 2_000)).select(F.col(key).alias("_hot"))
-    left = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    own = F.pmod(F.xxhash64(*[c for c in left.columns if c != "_hot"]), F.lit(salts)).cast("int")  # of the row itself, so a task that runs again deals as before
-    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), own).otherwise(0)).drop("_hot")
-    n = F.when((F.col(weight) > total / share) & (F.col(weight) > 2_000), salts).otherwise(1)
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    many = (F.col(weight) > total / share) & (F.col(weight) > 2_000)
+    hot = F.broadcast(right.filter(many).select(*keys, F.lit(True).alias("_hot")))
+    own = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")  # of the row itself, so a task that runs again deals as before
+    left = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), own).otherwise(0)).drop("_hot")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(many, salts).otherwise(1) - 1)))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -42,7 +42,7 @@ from .common import cut_lineage, let, salted_join, shielded, small_batches, tabl
 from .hashing import Spans, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
-ID = "struct<k:bigint,k2:bigint>"
+ID = "binary"
 #: A region not agreed in yet: its start and length in the own line, its length in the indexed line, and its edits at most.
 REGIONS = "array<struct<start:int,n:int,indexed:int,edits:int>>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -50,12 +50,13 @@ BLANK = " \t\n\x0b\x0c\r"
 
 def line_key(line: Column) -> Column:
     """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("k"), F.xxhash64(F.lit(1), line).alias("k2"))
+    return F.unhex(F.md5(line))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, _key, at, line for every line that is not blank."""
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")  # once a text, not once a line
+    rows = keyed.select("doc_id", "_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(BLANK))).filter("line <> ''")
 
 

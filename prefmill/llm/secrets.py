@@ -125,7 +125,7 @@ def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """The inverted index, a row for each trigram of the vocabulary and document that has it."""
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     has = let(lower, lambda t: F.filter(F.array(*map(F.lit, vocabulary)), lambda g: F.contains(t, g)))
-    return docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.explode(has).alias("trigram"))
+    return docs.select("doc_id", text_key(F.col("text")).alias("_key"), has.alias("_has")).select("doc_id", "_key", F.explode("_has").alias("trigram"))
 
 
 def candidates(docs: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:

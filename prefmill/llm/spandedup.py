@@ -89,10 +89,10 @@ def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [pa.array(Spans(h, Q).of(first[i], end).view(np.int64)) for h in (w.hash, w.hash ^ np.uint64(0x5851F42D4C957F2D))]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.StructArray.from_arrays(hashes, ["a", "b"]), batch.column("doc_id").take(pa.array(row)), batch.column("_key").take(pa.array(row)),
+                *hashes, batch.column("doc_id").take(pa.array(row)), batch.column("_key").take(pa.array(row)),
                 pa.array((first[i] - w.first[row]).astype(np.int32)), pa.array((end - w.first[row]).astype(np.int32)),
             ],
-            ["hash", "doc_id", "_key", "at", "end"],
+            ["a", "b", "doc_id", "_key", "at", "end"],
         )
 
 
@@ -134,11 +134,11 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_sentences", "n_removed", "n_removed_words")
     small_batches(docs.sparkSession)
     keyed = docs.withColumn("_key", text_key(F.col("text")))
-    schema = "hash struct<a:bigint,b:bigint>, doc_id long, _key long, at int, end int"
+    schema = "a long, b long, doc_id long, _key long, at int, end int"
     rows = keyed.select(F.col("doc_id").cast("long"), "_key", "text").mapInArrow(span_rows, schema)
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_key", "at")
-    met = cut_lineage(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1"))
-    later = salted_join(rows, met, "hash", "n").filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("_key") == F.col("f._key")) & (F.col("at") == F.col("f.at"))))
+    met = cut_lineage(rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1"))
+    later = salted_join(rows, met, ["a", "b"], "n").filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("_key") == F.col("f._key")) & (F.col("at") == F.col("f.at"))))
     spans = cut_lineage(later.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("at", "end")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_spans"))
     found = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left").select(*docs.columns, F.coalesce("_spans", F.expr("array()")).alias("_spans"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
