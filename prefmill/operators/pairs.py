@@ -94,3 +94,46 @@ def progress(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     t = traces.groupBy("qid").agg(F.count("*").alias("n_attempts"), F.count_if("is_valid").alias("n_valid"), (F.max(F.when(F.col("is_valid"), F.col("trace_score"))) - F.min(F.when(F.col("is_valid"), F.col("trace_score")))).alias("score_gap"))
     out = t.join(pairs.groupBy("qid").agg(F.count("*").alias("n_pairs")), "qid", "left").fillna(0, ["n_pairs", "score_gap"])
     return out.withColumn("outcome", F.when(F.col("n_valid") == 0, "no_valid_traces").when(F.col("n_pairs") == 0, "no_pairs").otherwise("pairs"))
+
+
+def progress_counters(traces: DataFrame, pairs: DataFrame, dedup: DataFrame, questions: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """The counters of every tried question, attempts_{model} for each model, with an outcome also for those without a valid trace."""
+    valid = F.col("is_valid")
+    t = traces.groupBy("qid").agg(
+        F.count_if(valid).alias("num_valid_traces"), F.count_if(~valid).alias("num_discarded_traces"), F.count("*").alias("all_attempts"),
+        *[F.count_if(F.col("model") == m).alias(f"attempts_{m}") for m in models],
+        F.coalesce(F.max(F.when(valid, F.col("trace_score"))) - F.min(F.when(valid, F.col("trace_score"))), F.lit(0.0)).alias("score_gap"),
+    )
+    by = answer_histogram(traces.filter(valid), "model").withColumnRenamed("histogram", "valid_traces_by_model")
+    n = lambda p, c: p.groupBy("qid").agg(F.count("*").alias(c))
+    out = questions.select("qid", "dataset", "gold_answer").join(t, "qid").join(by, "qid", "left").join(n(pairs, "raw_pair_count"), "qid", "left").join(n(dedup, "dedup_pair_count"), "qid", "left")
+    out = out.fillna(0, ["raw_pair_count", "dedup_pair_count"]).withColumn("valid_traces_by_model", F.coalesce("valid_traces_by_model", F.create_map().cast("map<string,bigint>")))
+    out = out.withColumns({"raw_rows_appended": F.col("raw_pair_count"), "dedup_rows_appended": F.col("dedup_pair_count")})
+    return out.withColumn("outcome", F.when(F.col("num_valid_traces") == 0, "no_valid_traces").when(F.col("raw_pair_count") == 0, "no_pairs").otherwise("pairs"))
+
+
+def question_results(traces: DataFrame, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """One nested row for each tried question: its ranked valid traces, the best of them, vote clusters, pairs with diagnostics, and discarded traces.
+
+    All groups are of one question and no larger than its sampling budget.
+    """
+    own = [c for c in traces.columns if c not in ("qid", "question", "docs", "gold_answer")]
+    valid = rank_traces(traces.filter("is_valid"))
+    in_order = lambda key, *cols: F.array_sort(F.collect_list(F.struct(F.col(key).alias("_at"), F.struct(*cols).alias("_row"))))
+    ranked = valid.groupBy("qid").agg(F.transform(in_order("rank", *own), lambda x: x["_row"]).alias("ranked_traces"), F.count("*").alias("num_valid_traces"))
+    lost = traces.filter("NOT is_valid").groupBy("qid").agg(F.transform(in_order("sample_index", *own), lambda x: x["_row"]).alias("discarded_traces"), F.count("*").alias("num_discarded_traces"))
+    clusters = ["answer", "count", "total_score", "mean_score", "best_score", "mean_final_answer_score"]
+    voted = vote(traces.filter("is_valid")).groupBy("qid").agg(F.transform(in_order("rank", *clusters), lambda x: x["_row"]).alias("clusters"))
+    made = pairs.groupBy("qid").agg(F.transform(in_order("pair_index", *[c for c in pairs.columns if c not in ("qid", "pair_index")]), lambda x: x["_row"]).alias("dpo_pairs"))
+    told = pair_diagnostics(pairs).withColumnRenamed("qid", "_q")
+    told = told.select(F.col("_q").alias("qid"), F.struct(*[c for c in told.columns if c != "_q"]).alias("pair_diagnostics"))
+    tried = traces.groupBy("qid").agg(F.count("*").alias("all_attempts"))
+    out = questions.select("qid", "dataset", "question", "docs", "gold_answer", "gold_answer_text").join(tried, "qid")
+    for part in (ranked, lost, voted, made, told, answer_histogram(traces.filter("is_valid")).withColumnRenamed("histogram", "answer_histogram")):
+        out = out.join(part, "qid", "left")
+    out = out.fillna(0, ["num_valid_traces", "num_discarded_traces"]).withColumn("best_of_n", F.get("ranked_traces", F.lit(0)))
+    out = out.withColumn("sc_rm", F.struct("clusters", F.get("clusters", F.lit(0))["answer"].alias("selected_answer_by_sc_rm"))).drop("clusters")
+    none = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("ranked_traces", "discarded_traces", "dpo_pairs")}
+    score = lambda x: x["trace_score"]
+    gap = F.coalesce(F.array_max(F.transform("ranked_traces", score)) - F.array_min(F.transform("ranked_traces", score)), F.lit(0.0))
+    return out.withColumns(none).withColumn("score_gap", gap)

@@ -72,11 +72,11 @@ def build_queries(records: DataFrame, email: str = "") -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int | None, key: str, seed: int = 42) -> DataFrame:
-    """n rows by the order of a seeded hash, ties by key; all for n null, not positive or too large. Top n of each partition first, so no sort of all rows."""
+    """n rows by the order of a seeded hash, ties by key, and then in the order of their keys as strings; all for n null, not positive or too large. Top n of each partition first, so no sort of all rows."""
     if not n or n <= 0:
         return df
     rank = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    return df.withColumn("_rank", rank).orderBy("_rank", key).limit(n).drop("_rank")
+    return df.withColumn("_rank", rank).orderBy("_rank", key).limit(n).drop("_rank").orderBy(F.col(key).cast("string"))
 
 
 def sample_by_group(df: DataFrame, n: int, group: str, key: str, seed: int = 42) -> DataFrame:

@@ -49,6 +49,28 @@ def with_query_cache(records: DataFrame, cache: DataFrame) -> tuple[DataFrame, D
     return records.join(have.select("qid", "pmids"), "qid"), records.join(have, "qid", "left_anti")
 
 
+def own_candidates(records: DataFrame) -> DataFrame:
+    """query_candidates normalised, distinct and not empty; the primary and the fallback query where there are none."""
+    some = lambda a: F.array_distinct(F.filter(F.transform(a, normalize), lambda x: x != ""))
+    two = F.array(*[F.col(c) if c in records.columns else F.lit("") for c in ("query_primary", "query_fallback")])
+    given = F.coalesce("query_candidates", F.array().cast("array<string>"))
+    return records.withColumn("query_candidates", some(F.when(F.size(given) > 0, given).otherwise(two)))
+
+
+def query_cache_rows(records: DataFrame, found: DataFrame, most: int = RETRIEVED) -> DataFrame:
+    """What a cache keeps of searched records: qid, dataset, split, the query that found something, the candidates, pmids and retmax."""
+    kept = records.filter(F.size("query_candidates") > 0).select("qid", "dataset", "split", "query_candidates")
+    return kept.join(found.select("qid", F.col("query_used").alias("query"), "pmids"), "qid").select("qid", "dataset", "split", "query", "query_candidates", "pmids", F.lit(most).alias("retmax"))
+
+
+def search_errors(hits: DataFrame) -> DataFrame:
+    """(qid, error) of the questions with a query that could not be answered before one that found something."""
+    if "error" not in hits.columns:
+        return hits.select("qid", F.lit(None).cast("string").alias("error")).limit(0)
+    g = hits.groupBy("qid").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("cand", "error"))).alias("e"), F.min(F.when(F.col("pmid").isNotNull(), F.col("cand"))).alias("found"))
+    return g.filter("e IS NOT NULL AND (found IS NULL OR e.cand < found)").select("qid", F.col("e.error").alias("error"))
+
+
 def missing_documents(lists: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct pmids of the lists that are not in the cache."""
     return lists.select(F.explode("pmids").alias("pmid")).distinct().join(cache, "pmid", "left_anti")
@@ -71,9 +93,11 @@ def docs_records(records: DataFrame, fetched: DataFrame) -> DataFrame:
 def evidence(records: DataFrame, most: int = DOCS) -> DataFrame:
     """The question as shown, rendered documents and the gold answer."""
     docs = render_documents(F.col("retrieved_docs"), most)
+    raw = ("query", "query_primary", "query_fallback", "query_candidates", "pmids")
     return records.select(
         "qid", F.coalesce("dataset", F.lit("medqa")).alias("dataset"), F.coalesce("split", F.lit("train")).alias("split"), format_question(F.col("question"), F.col("options")).alias("question"),
         docs.alias("docs"), F.size(docs).alias("num_docs"), normalize(F.col("answer")).alias("gold_answer"), normalize(F.col("answer_text")).alias("gold_answer_text"),
+        F.struct(*[F.col(c) for c in ("question", "options", *raw) if c in records.columns]).alias("raw_record"),
     )
 
 

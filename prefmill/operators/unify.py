@@ -38,6 +38,22 @@ def standard_record(df: DataFrame) -> DataFrame:
     return df.withColumn("answer_text", F.coalesce(F.try_element_at("options", F.col("answer")), F.lit("")))
 
 
+def flat_strings(c: Column, kind: T.DataType) -> Column:
+    """The distinct texts of a column of any shape, depth first: values of lists, maps and structs, without names and keys; none of null."""
+
+    def leaves(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            inner = [leaves(x[f.name], f.dataType) for f in kind]
+            return F.concat(*inner) if inner else F.array().cast("array<string>")
+        if isinstance(kind, T.MapType):
+            return F.coalesce(F.flatten(F.transform(F.map_values(x), lambda v: leaves(v, kind.valueType))), F.array().cast("array<string>"))
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.flatten(F.transform(x, lambda v: leaves(v, kind.elementType))), F.array().cast("array<string>"))
+        return F.array(normalize(x.cast("string")))
+
+    return F.array_distinct(F.filter(leaves(c, kind), lambda x: x != ""))
+
+
 def keyed_options(df: DataFrame, name: str = "options") -> Column:
     """(key, value) entries of any of the known shapes of an options column, decided by its type."""
     kind, c = df.schema[name].dataType, F.col(name)
@@ -70,7 +86,11 @@ def unify_keyed(df: DataFrame, split: str, position: Column, dataset: str = "med
     """Rows with options in any shape and an answer by key, index or text."""
     out = df.withColumn("_position", position).withColumn("_options", keyed_options(df)).filter("_options IS NOT NULL")
     out = out.withColumn("_map", entries_map(F.col("_options")))
-    meta = F.struct(F.lit(dataset).alias("source_dataset"), F.lit(split).alias("source_split"), first_of(df, "id").cast("string").alias("original_id"))
+    notes = {c: (flat_strings(F.col(c), df.schema[c].dataType) if c in df.columns else F.array().cast("array<string>")) for c in ("meta_info", "metamap_phrases")}
+    meta = F.struct(
+        F.lit(dataset).alias("source_dataset"), F.lit(split).alias("source_split"), first_of(df, "id").cast("string").alias("original_id"),
+        F.array_join(notes["meta_info"], " ").alias("meta_info"), notes["metamap_phrases"].alias("metamap_phrases"),
+    )
     return standard_record(
         out.select(
             question_id(dataset, split, F.col("_position")).alias("qid"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), first_of(df, "question").alias("question"),

@@ -71,12 +71,55 @@ def extract_answer(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.explode(F.array(*each)).alias("v")).select("conv_id", "turn", "v.k", T.final_answer(F.col("v.x")).alias("answer"))
 
 
-@query()
+_STRIP = lambda x: f"regexp_replace({x}, '^{X.WS}+|{X.WS}+$', '', 'g')"
+_TRACE = lambda x: _STRIP(f"regexp_replace(regexp_replace(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _step_sql(x: str) -> str:
+    x = _STRIP(x)
+    for p in (rf"^\*+{X.WS}*", rf"^#+{X.WS}*", rf"(?i)^Step{X.WS}*\d+{X.WS}*[:\-]{X.WS}*", rf"^\d+[.)]{X.WS}*", rf"^[-*]{X.WS}*"):
+        x = f"regexp_replace({x}, '{p}', '')"
+    return _STRIP(f"regexp_replace({x}, '^\\*+|\\*+$', '', 'g')")
+
+
+_LOW = lambda x: (
+    f"(length({x}) < 25 OR list_contains(list_transform([{_IN(X.LOW_VALUE_PREFIXES)[1:-1]}], lambda p: starts_with(lower({x}), p)), true) OR regexp_full_match({x}, '(?i)\\(?[A-E]\\)?') OR regexp_full_match({x}, '[A-Za-z ]{{1,30}}:'))"
+)
+_CUT = "|".join([f"{X.WS}*;{X.WS}*", *(f"{X.WS}+{w}{X.WS}+" for w in ("therefore,", "however,", "but", "because", "which means"))])
+_PARTS = lambda x: f"list_transform(list_filter(string_split_regex({x}, '(?i){_CUT}'), lambda y: {_STRIP('y')} <> ''), lambda y: regexp_replace(y, '^[ ,;:]+|[ ,;:]+$', '', 'g'))"
+_SUB = lambda x: f"(CASE WHEN length({x}) <= 220 OR len({_PARTS(x)}) < 2 THEN [{x}] ELSE {_PARTS(x)} END)"
+_MARK = f"(?i)\\b(Step{X.WS}*\\d+{X.WS}*[:\\-])"
+_SOME = lambda a: f"list_filter(list_transform({a}, lambda y: {_STRIP('y')}), lambda y: y <> '')"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_STRIP(f"regexp_replace({_TRACE("coalesce(text, '')")}, '(?i)Final{X.WS}*Answer{X.WS}*:[^" + chr(92) + "n]*', '', 'g')")} AS t FROM conversations),
+b AS (SELECT *, {_SOME('string_split(t, chr(10))')} AS ls FROM a),
+c AS (SELECT *, list_transform(list_filter(ls, lambda y: regexp_matches(y, '^(\\d+[.)]|[-*]){X.WS}+')), lambda y: {_STRIP(f"regexp_replace(y, '^(" + chr(92) + f"d+[.)]|[-*]){X.WS}+', '')")}) AS num, list_filter(ls, lambda y: NOT regexp_matches(y, '^(\\d+[.)]|[-*]){X.WS}+')) AS plain FROM b),
+d AS (SELECT conv_id, turn, t, CASE WHEN regexp_matches(t, '{_MARK}') THEN {_SOME(f"string_split(regexp_replace(t, '{_MARK}', chr(1) || '" + chr(92) + "1', 'g'), chr(1))")} WHEN len(num) >= 2 THEN num
+  ELSE {_SOME(f"string_split(regexp_replace(CASE WHEN len(plain) > 0 THEN array_to_string(plain, ' ') ELSE t END, '([.!?]){X.WS}+', '" + chr(92) + "1' || chr(1), 'g'), chr(1))")} END AS c FROM c),
+e AS (SELECT conv_id, turn, t, list_filter(list_transform(c, lambda x: {_step_sql('x')}), lambda x: x <> '') AS c FROM d),
+f AS (SELECT conv_id, turn, t, list_transform(flatten(list_transform(c, lambda x: {_SUB('x')})), lambda x: {_step_sql('x')}) AS c FROM e),
+g AS (SELECT conv_id, turn, {_step_sql('t')} AS w, list_filter(c, lambda x: x <> '' AND NOT {_LOW('x')}) AS c FROM f),
+h AS (SELECT conv_id, turn, w, c, list_transform(c, lambda x: lower(x)) AS low FROM g),
+i AS (SELECT conv_id, turn, w, list_filter(c, lambda x, i: list_position(low, lower(x)) = i) AS c FROM h),
+j AS (SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN c WHEN w <> '' AND NOT {_LOW('w')} THEN [w] ELSE [] END AS s FROM i)
+SELECT conv_id, turn, CAST(len(s) AS INTEGER) AS n, coalesce(array_to_string(s, chr(10)), '') AS steps FROM j""")
 def split_steps(spark: SparkSession, sf: str) -> DataFrame:
     steps = T.reasoning_steps(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", steps.alias("s")).select("conv_id", "turn", F.size("s").alias("n"), F.array_join("s", "\n").alias("steps"))
 
 
+@query(f"""WITH a AS (SELECT conv_id, turn, {_TRACE("coalesce(text, '')")} AS t, {_step_sql("'  **Step 3: - ' || coalesce(text, '') || '** '")} AS s, {_STRIP("coalesce(text, '')")} AS raw FROM conversations)
+SELECT conv_id, turn, md5(t) AS trace, md5(s) AS step, {_LOW('raw')} AS low, CAST(len({_SUB('raw')}) AS INTEGER) AS n_parts, md5(array_to_string({_SUB('raw')}, '|')) AS parts FROM a""")
+def step_text(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.coalesce("text", F.lit(""))
+    parts = T.substeps(raw)
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.md5(T.clean_trace(raw)).alias("trace"), F.md5(T.clean_step(F.concat(F.lit("  **Step 3: - "), raw, F.lit("** ")))).alias("step"),
+        T.low_value(raw).alias("low"), F.size(parts).alias("n_parts"), F.md5(F.array_join(parts, "|")).alias("parts"),
+    )
+
+
 _XML = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
 
 
@@ -232,12 +275,16 @@ def first_nonempty(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_nonempty(records, hits).select("qid", "cand", F.array_join("pmids", ",").alias("pmids"))
 
 
-def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+def document_rows(spark: SparkSession, sf: str) -> DataFrame:
     records, hits = benchmark_search(spark, sf)
     documents = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pmid"), F.col("lang").alias("title"), F.col("text").alias("abstract"), F.col("source").alias("journal"), F.lit("1999").alias("year"))
     options = F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.lit("yes"))
     full = records.withColumns({"dataset": F.lit("medqa"), "split": F.lit("train"), "options": options, "answer": F.lit("A"), "answer_text": F.lit("yes")})
-    return R.evidence(R.docs_records(full, R.fetch(R.first_nonempty(records, hits), documents)))
+    return R.docs_records(full, R.fetch(R.first_nonempty(records, hits), documents))
+
+
+def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return R.evidence(document_rows(spark, sf))
 
 
 _EVIDENCE = f"""WITH {_SEARCH}, f AS (SELECT qid, min(cand) AS cand FROM r GROUP BY qid), s AS (SELECT r.* FROM r JOIN f USING (qid, cand) WHERE rank <= 6),

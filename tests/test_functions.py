@@ -70,54 +70,35 @@ def test_plus_minus(spark):
     assert one(spark, F.struct(p, m, d)) == (0.5, 0.5, 0.0)
 
 
-def reference_steps(text):
-    """The rules of the step splitter, restated."""
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text or ""))).strip()
-    text = re.sub(r"(?i)Final\s*Answer\s*:.*", "", text).strip()
-
-    def clean(s):
-        s = s.strip()
-        for p in (r"^\*+\s*", r"^#+\s*", r"(?i)^Step\s*\d+\s*[:\-]\s*", r"^\d+[.)]\s*", r"^[-*]\s*"):
-            s = re.sub(p, "", s)
-        return s.strip("*").strip()
-
-    def poor(s):
-        return len(s) < 25 or any(s.lower().startswith(x) for x in X.LOW_VALUE_PREFIXES) or bool(re.fullmatch(r"(?i)\(?[A-E]\)?|[A-Za-z ]{1,30}:", s))
-
-    def parts(s):
-        if len(s) <= 220:
-            return [s]
-        got = [x.strip(" ,;:") for x in re.split(r"(?i)\s*;\s*|\s+therefore,\s+|\s+however,\s+|\s+but\s+|\s+because\s+|\s+which means\s+", s) if x.strip()]
-        return got if len(got) > 1 else [s]
-
-    marker = r"\bStep\s*\d+\s*[:\-]"
-    if re.search(marker, text, re.I):
-        found = re.split(f"(?={marker})", text, flags=re.I)
-    else:
-        lines = [x.strip() for x in text.split("\n") if x.strip()]
-        item = re.compile(r"(\d+[.)]|[-*])\s+")
-        numbered, plain = [item.sub("", x, count=1) for x in lines if item.match(x)], [x for x in lines if not item.match(x)]
-        found = numbered if len(numbered) > 1 else re.split(r"(?<=[.!?])\s+", " ".join(plain) if plain else text)
-    out = [clean(y) for x in found if x.strip() and clean(x) for y in parts(clean(x))]
-    out = [x for x in out if x and not poor(x)]
-    out = list({x.lower(): x for x in reversed(out)}.values())[::-1]
-    whole = clean(text)
-    return out or ([whole] if whole and not poor(whole) else [])
-
-
-def test_reasoning_steps(spark):
-    made = [
-        "Step 1: The first step says something useful.\nStep 2 - the second step says something as well; STEP 3: the first step.\nFinal Answer: (B)\nmore text after the final answer line",
-        "Intro line that is long enough to count.\n1. The first numbered claim is right here.\n2) The second numbered claim is right here.\n- The third, a bullet, is right here too.",
-        "1. Only one numbered line, which goes away here.\nThe plain text stays. It has two sentences of length.",
-        "* One bullet alone makes the whole text the candidate.",
-        "A " + "very long sentence, " * 12 + "but it has parts because it is long; therefore, it splits which means more parts.",
-        "Same sentence twice, in other case here. SAME SENTENCE TWICE, IN OTHER CASE HERE.", "\r\nA\r\rB\t\tC", "", "**Bold heading:**", "(A)",
-    ]
-    texts = made + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()]
-    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
-    got = {r.i: r.steps for r in df.select("i", T.reasoning_steps(F.col("text")).alias("steps")).collect()}
-    assert [got[i] for i in range(len(texts))] == [reference_steps(t) for t in texts]
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (
+            "Step 1: The first step says something useful.\nStep 2 - the second step says something as well; STEP 3: the first step.\nFinal Answer: (B)\nmore text after the final answer line",
+            ["The first step says something useful.", "the second step says something as well;", "the first step.\n\nmore text after the final answer line"],
+        ),
+        (
+            "Intro line that is long enough to count.\n1. The first numbered claim is right here.\n2) The second numbered claim is right here.\n- The third, a bullet, is right here too.",
+            ["The first numbered claim is right here.", "The second numbered claim is right here.", "The third, a bullet, is right here too."],
+        ),
+        ("1. Only one numbered line, which goes away here.\nThe plain text stays. It has two sentences of length.", ["It has two sentences of length."]),
+        ("* One bullet alone makes the whole text the candidate.", ["One bullet alone makes the whole text the candidate."]),
+        ("Same sentence twice, in other case here. SAME SENTENCE TWICE, IN OTHER CASE HERE.", ["Same sentence twice, in other case here."]),
+        ("A sentence of two hundred and twenty characters or more " + "goes on and on " * 11 + "but it has a second part that is long enough because it is", ["A sentence of two hundred and twenty characters or more" + " goes on and on" * 11, "it has a second part that is long enough"]),
+        ("\r\nA\r\rB\t\tC", []), ("", []), (None, []), ("**Bold heading:**", []), ("(A)", []),
+    ],
+)
+def test_reasoning_steps(spark, text, want):
+    got = spark.createDataFrame([(text,)], "text string").select(T.reasoning_steps(F.col("text"))).first()[0]
+    assert got == want
+
+
+def test_steps_say_something_once(spark):
+    """Of any text: no step twice in any case, none short, none with its marker."""
+    steps = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select(T.reasoning_steps(F.col("text")).alias("s")).collect()
+    assert sum(len(r.s) for r in steps) > 500
+    for r in steps:
+        assert len({x.lower() for x in r.s}) == len(r.s) and all(len(x) >= 25 and x == x.strip() and not re.match(r"(?i)step\s*\d+\s*[:-]", x) for x in r.s)
 
 
 @pytest.mark.parametrize(

@@ -2,7 +2,7 @@
 
 import pytest
 
-from prefmill.plans import registry
+from prefmill.plans import job_queries, registry  # noqa: F401 the first adds its queries to the second
 from tests.compare import differences
 
 SF = "/root/testdata/sf0.001"
