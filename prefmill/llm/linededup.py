@@ -199,10 +199,10 @@ def verify_rows(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.Reco
 
 
 def verified(pairs: DataFrame, long: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) of different lines within tau edits. Only lines that are in a pair go to them: their ids are broadcast where their bytes are few."""
+    """The pairs (a, b) of different lines within tau edits. The lines that are in a pair are found by a join that is planned alike at every size."""
     pairs = cut_lineage(pairs.filter("a <> b").distinct())
     ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    text = cut_lineage(long.select("id", "line").join(ids, "id", "left_semi"))
+    text = cut_lineage(long.select("id", "line").join(ids.hint("merge"), "id", "left_semi"))
     met = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
     return cut_lineage(met.select("a", "b", "x", "y").mapInArrow(lambda b: verify_rows(b, tau), f"a {ID}, b {ID}"))
 
