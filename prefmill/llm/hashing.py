@@ -27,8 +27,7 @@ def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
         known = np.ones(1, np.uint64)
         while len(known) < n:
             known = np.concatenate([known, known * np.uint64(pow(b, len(known), 1 << 64))])
-        if len(known) <= 4 * BLOCK:
-            _POWERS[int(base), inverse] = known
+        _POWERS[int(base), inverse] = known
     return known[:n]
 
 
@@ -40,16 +39,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of [start, end) of an array of bytes or of 64-bit numbers."""
+    """Hashes of [start, end) of an array of bytes or of 64-bit numbers. Beside the sums it holds tables of BLOCK powers, whatever the length."""
 
     def __init__(self, values: np.ndarray, base: np.uint64 = P):
-        self.base = base
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, len(values)), out=self.sums[1:])
-        self.inverse = powers(base, len(values) + 1, True)
+        inverse, wide = pow(int(base), -1, 1 << 64), min(BLOCK, len(values) + 1)
+        self.near, self.far = powers(base, wide, True), []
+        for low in range(0, len(values) + 1, BLOCK):
+            self.far.append(pow(inverse, low, 1 << 64))
+            part = values[low : low + BLOCK].astype(np.uint64)
+            part += np.uint64(1)
+            part *= powers(base, len(part))
+            part *= np.uint64(pow(int(base), low, 1 << 64))
+            np.cumsum(part, out=part)
+            np.add(part, self.sums[low], out=self.sums[low + 1 : low + 1 + len(part)])
+        self.far = np.array(self.far, np.uint64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        inverse = self.near[start % BLOCK] * self.far[start // BLOCK]
+        return mix((self.sums[end] - self.sums[start]) * inverse + (end - start).astype(np.uint64))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, let, salted_join, shielded, small_batches, table, text_key
-from .hashing import Spans, mix
+from .hashing import Spans, blocks, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
 ID = "binary"
@@ -77,8 +77,8 @@ def first_codes(tau: int) -> list[tuple[int, int, int]]:
 
 
 def segment_rows(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, code): the rows of the lines for each of first_codes."""
-    for batch in batches:
+    """(key, id, code): the rows of the lines for each of first_codes. Of a block of lines at a time, so that a worker holds little beside its batch."""
+    for batch, _, _ in blocks(batches, "line"):
         ids = batch.column("id")
         data, at = code_points(batch.column("line").to_pylist())
         spans, n, a = Spans(data), np.diff(at), at[:-1]
