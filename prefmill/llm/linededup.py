@@ -43,6 +43,8 @@ from .hashing import Spans, blocks, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
 ID = "binary"
+#: Rows of which a worker holds the finer ones at once.
+PART = 500
 #: A region not agreed in yet: its start and length in the own line, its length in the indexed line, and its edits at most.
 REGIONS = "array<struct<start:int,n:int,indexed:int,edits:int>>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -141,7 +143,7 @@ def finer(key: int, line: str, regions: list[dict], probe: bool) -> Iterator[tup
 
 def finer_rows(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
     """(key, id, probe, regions, line) rows, or with code in place of probe and regions -> the rows of the next level."""
-    for batch in batches:
+    for batch in (b.slice(low, PART) for b in batches for low in range(0, b.num_rows, PART)):
         keys, ids, probes, regions = [], [], [], []
         for r in batch.to_pylist():
             if "code" not in r:
