@@ -132,14 +132,14 @@ def judged(stats: DataFrame, cuts: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns. The cutoffs are fitted on the labelled documents only.
 
-    Texts are measured once, into a table of counts; what is rejected leaves by its key, in an anti-join that needs no shuffle while the keys are few.
+    Texts are measured once, into a table of counts; what is rejected leaves by its key, in an anti-join that is planned alike at every size.
     """
     counts = docs.select("doc_id", "lang", "text").withColumn("_key", text_key(F.col("text")))
     stats = cut_lineage(measured(counts).drop("text"))
     gone = judged(stats, cut_lineage(cutoffs(stats, labels))).filter("NOT kept")
     gone = cut_lineage(gone.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_in"), F.col("_key").alias("_k")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_in")) & (text_key(F.col("text")) == F.col("_k"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
