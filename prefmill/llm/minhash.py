@@ -155,10 +155,10 @@ def agreement(a: Column, b: Column) -> Column:
 
 
 def bags_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, bag) of nodes, from one join with the texts."""
+    """(id, bag) of nodes, from one join with the texts, planned alike at every size."""
     at = cut_lineage(ids.join(reps.select("id", "doc_id", "_key"), "id").select("id", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")))
     d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
-    d = d.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("id", "text")
+    d = d.join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("id", "text")
     return cut_lineage(d.mapInArrow(multiset_rows, "id long, bag array<long>").dropDuplicates(["id"]))
 
 
