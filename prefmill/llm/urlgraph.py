@@ -81,7 +81,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     hot = cut_lineage(hot)
     none, hot = hot.isEmpty(), F.broadcast(hot)
     both = both.join(hot, "host", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    wide = degree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("degree") > 2_000, F.lit(SALTS - 1)).otherwise(0))))
+    # By the same hot list as the links: a host may be hot by both directions together and have few links in one.
+    wide = degree.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(0)))).drop("hot")
     both = cut_lineage(both.join(wide, ["host", "along", "salt"]))
     score = cut_lineage(seeds.select("host", ((1 - damping) * F.col("seed_trust")).alias("trust"), ((1 - damping) * F.col("seed_distrust")).alias("distrust")))
     if not both.isEmpty():
