@@ -173,8 +173,8 @@ def scan_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, bool]] | None
     rules = rules or RULES
     queries = {k: fewer(q) for k, (p, _, _) in rules.items() if (q := trigram_query(p)) is not None}
     d = docs.select("doc_id", text_key(F.col("text")).alias("_key"), F.coalesce("text", F.lit("")).alias("text")).alias("d")
-    # As a table, whose bytes decide whether it is broadcast: then no text is shuffled.
-    c = cut_lineage(candidates(docs, queries)).alias("c")
+    # A merge join at every size: texts are shuffled once, over small tables too.
+    c = cut_lineage(candidates(docs, queries)).hint("merge").alias("c")
     d = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._key") == F.col("c._key")), "left").select("d.doc_id", "text", "_rules")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     found = []

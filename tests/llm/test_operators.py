@@ -166,6 +166,14 @@ def test_trigram_queries_are_mandatory():
     assert set(secrets.trigram_query("abcd|xyz")) == {frozenset({"abc", "bcd"}), frozenset({"xyz"})}
 
 
+def test_candidates_meet_texts_alike_at_every_size(spark):
+    """Few candidates are not broadcast, so that the shuffle of texts grows in proportion to them."""
+    plan = secrets.scan_secrets(spark.createDataFrame([(i, "password = hunter2hunter2") for i in range(20)], "doc_id long, text string"))
+    assert all(len(r.found) == 1 for r in plan.collect())
+    told = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in told and "BroadcastHashJoin" not in told
+
+
 def test_link_graph(spark):
     """Distrust runs against links to blocked hosts, trust along links from allowed ones."""
     pages = [
