@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
     runs = d.mapInArrow(run_rows, "h long, s long, doc_id long, _key long, p int, n int, off int, done boolean").repartition("h")
     runs = runs.sortWithinPartitions("h", "s", F.col("doc_id").asc_nulls_last(), "_key", "p")
-    met = cut_lineage(runs.mapInArrow(met_rows, "h long, doc_id long, _key long, p int, n int, off int, v int"))
+    met = cut_lineage(runs.mapInArrow(met_rows, "h long, doc_id long, _key long, p int, n int, off int, v int"), free=True)
     whole = met.filter("v = 0").select("doc_id", "_key", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + WINDOW).alias("end"))
     kinds = met.filter("v = 1").drop("v")
     many = kinds.groupBy("h").agg(F.count("*").alias("v")).filter(f"v > {HOT}")
@@ -316,7 +316,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sent = kinds.groupBy("_id", "_k").agg(F.collect_set("r").alias("_runs"))
     some = d.join(sent, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))).select("doc_id", "_key", "text", "_runs")
     parts = some.mapInArrow(context_rows, "g long, doc_id long, _key long, p int, n int, off int, bytes binary").repartition("g").sortWithinPartitions("g")
-    return whole.union(parts.mapInArrow(window_rows, "doc_id long, _key long, start int, end int")).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
+    # In tables of their own, so that the exchanges of runs, texts and spans are never on disk together.
+    windows = cut_lineage(parts.mapInArrow(window_rows, "doc_id long, _key long, start int, end int"), free=True)
+    return cut_lineage(whole.union(windows).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_gone")), free=True)
 
 
 def op9_suffix(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,26 @@ def test_sorting():
                 assert common[k] >= want
                 continue
         assert common[k] == want
+
+
+def test_shuffles_go_with_their_step(spark, monkeypatch):
+    """What a step shuffled is off the disk when the next one begins, without waiting for a garbage collection; the setting for that is as it was."""
+    import time
+
+    files = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if str(f).endswith(".data")}
+    steps, cut, before = [], S.cut_lineage, files()
+
+    def watched(df, *args, **kwargs):
+        out = cut(df, *args, **kwargs)
+        until = time.time() + 5
+        while (left := files() - before) and time.time() < until:
+            time.sleep(0.1)
+        steps.append(len(left))
+        return out
+
+    monkeypatch.setattr(S, "cut_lineage", watched)
+    text = "".join(chr(97 + i * i % 23) for i in range(400))
+    docs = spark.createDataFrame([(i, text + str(i) * 50) for i in range(20)], "doc_id long, text string")
+    assert S.repeated_spans(docs).count() == 20
+    assert len(steps) == 3 and not any(steps)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
