@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, let, salted_join, shielded, small_batches, table, text_key
+from . import common
+from .common import let, salted_join, shielded, small_batches, table, text_key
 from .hashing import Spans, blocks, mix
 
 TAU, MIN_CHARS, HOT = 1, 20, 32
@@ -48,6 +49,7 @@ PART = 500
 #: A region not agreed in yet: its start and length in the own line, its length in the indexed line, and its edits at most.
 REGIONS = "array<struct<start:int,n:int,indexed:int,edits:int>>"
 BLANK = " \t\n\x0b\x0c\r"
+cut_lineage = functools.partial(common.cut_lineage, few=True)
 
 
 def line_key(line: Column) -> Column:

@@ -2,10 +2,12 @@
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 
 from prefmill.llm import linededup as L
+from prefmill.llm.common import ADVISED, shared_folder
 
 EDGE = "\t\n\x0b\x0c\r "
 
@@ -146,3 +148,24 @@ def test_odd_rows(spark, empty):
     out = sorted((str(r.doc_id), str(r.text), r.n_removed) for r in L.dedup_lines(df).collect())
     want = [("1", "None", 0), ("2", "", 0), ("3", "one line here that is long enough\n\n  \nx", 0), ("3", "one line here that is long enough\n\n  \nx", 0), ("4", "", 1), ("None", "", 1)]
     assert out == ([] if empty else want)
+
+
+def test_tables_are_written_in_few_files(spark):
+    """Each file and folder that a task makes on a local disk costs the fork of a chmod."""
+    rng = random.Random(8)
+    text = lambda: "\n".join("".join(rng.choice("abcdef") for _ in range(200)) for _ in range(800))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    old, before = spark.conf.get(ADVISED), set(folder.iterdir())
+    spark.conf.set(ADVISED, "64k")
+    try:
+        rows = L.lines_of(spark.createDataFrame([(i, text()) for i in range(40)], "doc_id long, text string"))
+        out = L.cut_lineage(rows.repartition("line").sortWithinPartitions("line"))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        few = L.cut_lineage(rows.groupBy("line").count())
+        assert spark.conf.get(ADVISED) == "64k"
+    finally:
+        spark.conf.set(ADVISED, old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert out.count() == few.count() == 32000 and len(few.inputFiles()) == 1
+    new = [f for d in set(folder.iterdir()) - before for f in d.rglob("*")]
+    assert new and not [f for f in new if f.name.endswith(".crc")]
